@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality, secrets, topk
 from .common import table
 
 
+def op1_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_pareto_mix": op2_pareto_mix}
-ORACLE_SQL = {"op2_pareto_mix": mixing.oracle_copies()}
+def op5_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_uniform_threshold_topk": op5_uniform_threshold_topk, "op8_randomness_secrets": op8_randomness_secrets, "op1_robust_quality": op1_robust_quality, "op2_pareto_mix": op2_pareto_mix}
+ORACLE_SQL = {"op5_uniform_threshold_topk": topk.ORACLE, "op1_robust_quality": quality.oracle_assess(), "op2_pareto_mix": mixing.oracle_copies()}
