@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, topk
+from . import bytecnn, mixing, pieces, quality, secrets, topk
 from .common import table
 
 
@@ -25,5 +25,14 @@ def op8_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_uniform_threshold_topk": op5_uniform_threshold_topk, "op8_randomness_secrets": op8_randomness_secrets, "op1_robust_quality": op1_robust_quality, "op2_pareto_mix": op2_pareto_mix}
+def op4_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load())
+
+
+def op10_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bytecnn.score(docs, bytecnn.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op4_shared_prefix_pieces": op4_shared_prefix_pieces, "op10_byte_cnn_quality": op10_byte_cnn_quality, "op5_uniform_threshold_topk": op5_uniform_threshold_topk, "op8_randomness_secrets": op8_randomness_secrets, "op1_robust_quality": op1_robust_quality, "op2_pareto_mix": op2_pareto_mix}
 ORACLE_SQL = {"op5_uniform_threshold_topk": topk.ORACLE, "op1_robust_quality": quality.oracle_assess(), "op2_pareto_mix": mixing.oracle_copies()}
