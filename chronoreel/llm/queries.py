@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, mixing, pieces, quality, secrets, topk
+from . import bytecnn, mixing, pages, pieces, quality, secrets, topk
 from .common import table
 
 
@@ -34,5 +34,9 @@ def op10_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score(docs, bytecnn.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op4_shared_prefix_pieces": op4_shared_prefix_pieces, "op10_byte_cnn_quality": op10_byte_cnn_quality, "op5_uniform_threshold_topk": op5_uniform_threshold_topk, "op8_randomness_secrets": op8_randomness_secrets, "op1_robust_quality": op1_robust_quality, "op2_pareto_mix": op2_pareto_mix}
+def op6_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op6_url_differencing": op6_url_differencing, "op4_shared_prefix_pieces": op4_shared_prefix_pieces, "op10_byte_cnn_quality": op10_byte_cnn_quality, "op5_uniform_threshold_topk": op5_uniform_threshold_topk, "op8_randomness_secrets": op8_randomness_secrets, "op1_robust_quality": op1_robust_quality, "op2_pareto_mix": op2_pareto_mix}
 ORACLE_SQL = {"op5_uniform_threshold_topk": topk.ORACLE, "op1_robust_quality": quality.oracle_assess(), "op2_pareto_mix": mixing.oracle_copies()}
