@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytecnn, minhash, mixing, pages, pieces, quality, secrets, suffixes, topk
+from . import bytecnn, minhash, mixing, pages, pieces, quality, secrets, suffixes, toolcalls, topk
 from .common import table
 
 
@@ -46,5 +46,9 @@ def op3_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_bwt_merge_dedup": op3_bwt_merge_dedup, "op7_hyperminhash_dedup": op7_hyperminhash_dedup, "op6_url_differencing": op6_url_differencing, "op4_shared_prefix_pieces": op4_shared_prefix_pieces, "op10_byte_cnn_quality": op10_byte_cnn_quality, "op5_uniform_threshold_topk": op5_uniform_threshold_topk, "op8_randomness_secrets": op8_randomness_secrets, "op1_robust_quality": op1_robust_quality, "op2_pareto_mix": op2_pareto_mix}
-ORACLE_SQL = {"op5_uniform_threshold_topk": topk.ORACLE, "op1_robust_quality": quality.oracle_assess(), "op2_pareto_mix": mixing.oracle_copies()}
+def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link(*toolcalls.turns_as_calls(table(spark, sf_dir, "conversations")), toolcalls.REPLY)
+
+
+QUERIES = {"op9_tool_call_linking": op9_tool_call_linking, "op3_bwt_merge_dedup": op3_bwt_merge_dedup, "op7_hyperminhash_dedup": op7_hyperminhash_dedup, "op6_url_differencing": op6_url_differencing, "op4_shared_prefix_pieces": op4_shared_prefix_pieces, "op10_byte_cnn_quality": op10_byte_cnn_quality, "op5_uniform_threshold_topk": op5_uniform_threshold_topk, "op8_randomness_secrets": op8_randomness_secrets, "op1_robust_quality": op1_robust_quality, "op2_pareto_mix": op2_pareto_mix}
+ORACLE_SQL = {"op9_tool_call_linking": toolcalls.ORACLE, "op5_uniform_threshold_topk": topk.ORACLE, "op1_robust_quality": quality.oracle_assess(), "op2_pareto_mix": mixing.oracle_copies()}
