@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from .intervals import interval_join
 from .runs import exclusive_sum
 
-BY_ORD = Window.partitionBy("track_id").orderBy("ord")
-
 
 def movie_starts(edits: DataFrame) -> DataFrame:
     """start and end of each edit in movie time."""

@@ -12,29 +12,34 @@ from pyspark.sql import functions as F
 from .prefix import global_prefix_sum
 from .runs import exclusive_sum
 
-TRACK = Window.partitionBy("track_id").orderBy("frame_no")
-UP_TO = TRACK.rowsBetween(Window.unboundedPreceding, 0)
+
+def track():
+    return Window.partitionBy("track_id").orderBy("frame_no")
+
+
+def up_to():
+    return track().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def durations(packets: DataFrame, default: int = 3003) -> DataFrame:
     """duration = next pts - pts; the last packet repeats the one before it, a single packet gets default."""
-    step = F.lead("pts").over(TRACK) - F.col("pts")
-    return packets.withColumn("__d", step).withColumn("duration", F.coalesce("__d", F.lag("__d").over(TRACK), F.lit(default)).cast("long")).drop("__d")
+    step = F.lead("pts").over(track()) - F.col("pts")
+    return packets.withColumn("__d", step).withColumn("duration", F.coalesce("__d", F.lag("__d").over(track()), F.lit(default)).cast("long")).drop("__d")
 
 
 def durations_last_one(packets: DataFrame) -> DataFrame:
     """duration = next pts - pts; 1 for the last."""
-    return packets.withColumn("duration", F.coalesce(F.lead("pts").over(TRACK) - F.col("pts"), F.lit(1)).cast("long"))
+    return packets.withColumn("duration", F.coalesce(F.lead("pts").over(track()) - F.col("pts"), F.lit(1)).cast("long"))
 
 
 def last_key(packets: DataFrame) -> DataFrame:
     """key_frame: the last key frame at or before each packet; the first frame where there is none yet."""
-    return packets.withColumn("key_frame", F.coalesce(F.max(F.when(F.col("key"), F.col("frame_no"))).over(UP_TO), F.lit(0)).cast("long"))
+    return packets.withColumn("key_frame", F.coalesce(F.max(F.when(F.col("key"), F.col("frame_no"))).over(up_to()), F.lit(0)).cast("long"))
 
 
 def gop_ids(packets: DataFrame) -> DataFrame:
     """gop: running count of key frames (0 before the first)."""
-    return packets.withColumn("gop", F.sum(F.col("key").cast("long")).over(UP_TO))
+    return packets.withColumn("gop", F.sum(F.col("key").cast("long")).over(up_to()))
 
 
 def gop_summary(packets: DataFrame) -> DataFrame:
@@ -54,7 +59,7 @@ def clip(packets: DataFrame, start: int, end: int) -> DataFrame:
     keyed = last_key(packets).where(F.col("frame_no") < end)
     first = F.max(F.when(F.col("frame_no") == start, F.col("key_frame"))).over(Window.partitionBy("track_id"))
     kept = keyed.withColumn("__first", first).where("frame_no >= __first").drop("__first", "key_frame")
-    return kept.withColumns({"clip_frame": F.col("frame_no") - F.min("frame_no").over(Window.partitionBy("track_id")), "clip_pts": F.col("pts") - F.first("pts").over(TRACK)})
+    return kept.withColumns({"clip_frame": F.col("frame_no") - F.min("frame_no").over(Window.partitionBy("track_id")), "clip_pts": F.col("pts") - F.first("pts").over(track())})
 
 
 def seek(packets: DataFrame, points: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def reorder_bounded(packets: DataFrame, depth: int = 7) -> DataFrame:
 
 def copy_durations(packets: DataFrame, ahead: int = 7) -> DataFrame:
     """duration: the least positive gap to the pts of the next ahead packets; null where there is none."""
-    later = F.collect_list("pts").over(TRACK.rowsBetween(1, ahead))
+    later = F.collect_list("pts").over(track().rowsBetween(1, ahead))
     return packets.withColumn("duration", F.array_min(F.filter(F.transform(later, lambda p: p - F.col("pts")), lambda d: d > 0)))
 
 

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TRACK = Window.partitionBy("track_id").orderBy("frame_no")
-UP_TO = TRACK.rowsBetween(Window.unboundedPreceding, 0)
+
+def track():
+    return Window.partitionBy("track_id").orderBy("frame_no")
+
+
+def up_to():
+    return track().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def retime(packets: DataFrame, shift: int = 0, num: int = 1, den: int = 1, grid: int = 1) -> DataFrame:
@@ -25,15 +30,15 @@ def unwrap(packets: DataFrame, period: int, enabled: bool = True) -> DataFrame:
     """pts as a growing count: a fall by more than half a period adds a period, a rise by more takes one off."""
     if not enabled:
         return packets
-    step = F.col("pts") - F.lag("pts").over(TRACK)
+    step = F.col("pts") - F.lag("pts").over(track())
     turn = F.when(step < -(period // 2), 1).when(step > period // 2, -1).otherwise(0)
-    return packets.withColumn("__t", turn).withColumn("pts", F.col("pts") + F.sum("__t").over(UP_TO) * period).drop("__t")
+    return packets.withColumn("__t", turn).withColumn("pts", F.col("pts") + F.sum("__t").over(up_to()) * period).drop("__t")
 
 
 def fill_missing(packets: DataFrame) -> DataFrame:
     """Null pts become the last known pts plus the last known duration (0 if none); a run of nulls shares one value, as the last known one stays."""
-    last = F.last("pts", ignorenulls=True).over(UP_TO)
-    step = F.last(F.when(F.col("pts").isNotNull(), F.col("duration")), ignorenulls=True).over(UP_TO)
+    last = F.last("pts", ignorenulls=True).over(up_to())
+    step = F.last(F.when(F.col("pts").isNotNull(), F.col("duration")), ignorenulls=True).over(up_to())
     return packets.withColumn("pts", F.coalesce(F.col("pts"), last + F.coalesce(step, F.lit(0))))
 
 
@@ -60,7 +65,7 @@ def gop_pts(packets: DataFrame) -> DataFrame:
 def poc(packets: DataFrame, bits: int = 4) -> DataFrame:
     """Picture order count from its low bits: the high part steps when the low one wraps, and starts anew at key frames."""
     top = 1 << bits
-    group = packets.withColumn("__g", F.sum(F.col("key").cast("long")).over(UP_TO))
+    group = packets.withColumn("__g", F.sum(F.col("key").cast("long")).over(up_to()))
     w = Window.partitionBy("track_id", "__g").orderBy("frame_no")
     step = F.col("lsb") - F.lag("lsb").over(w)
     turn = F.when(step <= -top // 2, top).when(step > top // 2, -top).otherwise(0)
