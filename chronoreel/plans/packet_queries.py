@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..model import LR_SQL, PK_SQL, event_packets, line_runs, table
 from ..operators import packets as P
 from ..operators import runs as R
+from ..operators import streams as S
+from . import virtual as V
 
 QUERIES, SQL = {}, {}
 PK = f"with {PK_SQL} "
@@ -251,3 +253,57 @@ def sync_flags(spark, d):
 def duration_mode(spark, d):
     values = pk(spark, d).select("track_id", "frame_no", F.expr("size div 10").alias("value"))
     return R.mode_first(values, ["track_id"], "value", ["frame_no"])
+
+
+@query("split_packets", PK + """, n as (select track_id, frame_no, pts, size % 4 as n from pk), f as (select *, coalesce(sum(n) over (partition by track_id order by frame_no rows between unbounded preceding and 1 preceding), 0)::bigint as first from n where n > 0),
+    e as (select *, unnest(range(n))::int as part from f) select track_id, frame_no, part, first + part as out_no, pts + part * 1024 as pts from e""")
+def split_packets(spark, d):
+    return S.split_packets(pk(spark, d), F.col("size") % 4, 1024)
+
+
+@query("stream_info", PK + """select track_id, media, count(*) as packets, sum(size)::bigint as bytes, case when count(*) > 1 then (max(pts) - min(pts)) // (count(*) - 1) end as mean_gap from pk group by track_id, media""")
+def stream_info(spark, d):
+    return S.stream_info(pk(spark, d))
+
+
+@query("reference_lists", PK + """, c as (select track_id, frame_no as poc from pk where frame_no < 40 and frame_no % 8 = 3), r as (select track_id, frame_no as ref_poc from pk where frame_no < 40 and frame_no % 4 = 1)
+    select track_id, poc, ref_poc, (row_number() over (partition by track_id, poc order by case when ref_poc < poc then 0 else 1 end, abs(ref_poc - poc)) - 1)::int as list0,
+    (row_number() over (partition by track_id, poc order by case when ref_poc < poc then 1 else 0 end, abs(ref_poc - poc)) - 1)::int as list1 from c join r using (track_id) where ref_poc <> poc""")
+def reference_lists(spark, d):
+    near = pk(spark, d).where("frame_no < 40")
+    refs = near.where("frame_no % 4 = 1").select("track_id", F.col("frame_no").alias("ref_poc"))
+    return S.reference_order(refs, near.where("frame_no % 8 = 3").select("track_id", F.col("frame_no").alias("poc")))
+
+
+@query("frame_num_unwrap", PK + "select track_id, frame_no, frame_no % 16 as frame_num, (frame_no * 5) % 16 as ref_num, case when (frame_no * 5) % 16 > frame_no % 16 then (frame_no * 5) % 16 - 16 else (frame_no * 5) % 16 end as unwrapped from pk")
+def frame_num_unwrap(spark, d):
+    return S.frame_number_unwrap(pk(spark, d).select("track_id", "frame_no", (F.col("frame_no") % 16).alias("frame_num"), (F.col("frame_no") * 5 % 16).alias("ref_num")), 16)
+
+
+@query("segments", PK + """, t as (select track_id, max(pts) - min(pts) as duration from pk group by track_id), s as (select track_id, unnest(range((duration + 3599999999) // 3600000000)) as segment from t where duration > 0)
+    select track_id, segment, segment * 3600000000 as start from s""")
+def segments(spark, d):
+    tracks = pk(spark, d).groupBy("track_id").agg((F.max("pts") - F.min("pts")).alias("duration"))
+    return S.segments(tracks, 3_600_000_000)
+
+
+@query("stable_timestamps", PK + f""", m as (select track_id, frame_no, size as stamp, max(size) over (partition by track_id order by frame_no rows between unbounded preceding and 1 preceding) as m from pk),
+    g as (select track_id, frame_no, stamp from m where m is null or stamp >= m) select track_id, frame_no, stamp, lead(stamp) over {W} - stamp as duration from g""")
+def stable_timestamps(spark, d):
+    packets = pk(spark, d)
+    return S.stable_timestamps(packets, packets.select("track_id", "frame_no", F.col("size").alias("stamp")))
+
+
+@query("config_entries", PK + "select track_id, event_type, min(frame_no) as first_frame, row_number() over (partition by track_id order by min(frame_no))::int as entry from pk group by track_id, event_type")
+def config_entries(spark, d):
+    return S.swap_config(pk(spark, d), "event_type")
+
+
+@query("filter_chain", PK + """, v as (select * from pk where media = 'VIDEO' and frame_no >= 10 and frame_no < 60) select track_id, frame_no, greatest(pts * 9 // 100 - 100, 0) as pts from v""")
+def filter_chain(spark, d):
+    return V.apply(pk(spark, d), "media=video,skip=10,limit=60,scale=9:100,shift=-100").select("track_id", "frame_no", "pts")
+
+
+@query("virtual_frames", PK + f", {POS} select track_id, frame_no, position, size from pos where track_id = 3 and frame_no between 5 and 20")
+def virtual_frames(spark, d):
+    return V.VirtualMovie(pk(spark, d), 40).frames(3, 5, 20).select("track_id", "frame_no", "position", "size")

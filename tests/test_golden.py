@@ -11,6 +11,7 @@ from chronoreel.operators import edits as E
 from chronoreel.operators import packets as P
 from chronoreel.operators import repair as X
 from chronoreel.operators import runs
+from chronoreel.operators import streams
 from chronoreel.operators.intervals import interval_join
 
 EDIT = "track_id long, ord int, duration long, media_time long"
@@ -108,3 +109,23 @@ def test_probe_transport_stream(spark):
     ts[::188] = b"\x47" * 4
     df = spark.createDataFrame([(bytes(ts),), (b"none of it",), (None,)], "data binary")
     assert [r[0] for r in df.select(probe.detect(F.col("data"))).collect()] == ["mpegts", None, None]
+
+
+def test_fragments(spark):
+    rows = [(1, 0, False, False, "x"), (1, 1, True, False, "a"), (1, 2, False, False, "b"), (1, 3, False, True, "c"), (1, 4, False, True, "y"), (1, 5, True, False, "d"), (1, 7, False, True, "e"), (1, 8, True, True, "f"), (1, 9, True, False, "g")]
+    df = spark.createDataFrame(rows, "track_id long, seq long, start boolean, end boolean, data string")
+    assert [r["data"] for r in streams.join_fragments(df).orderBy("unit").collect()] == ["abc", "f"]
+
+
+def test_packed_pictures_and_disc_pcm():
+    import numpy as np
+
+    from chronoreel.functions import codecs
+
+    r = np.random.default_rng(1)
+    y, u, v = r.integers(0, 1024, (4, 50)), r.integers(0, 1024, (4, 25)), r.integers(0, 1024, (4, 25))
+    for got, want in zip(codecs.v210_to_planes(codecs.planes_to_v210(y, u, v), 50, 4), (y, u, v), strict=True):
+        assert (got == want).all()
+    head = bytes([0xA0, 1, 0, 0, 0, 0x01, 0])
+    assert codecs.disc_pcm(head + b"\x00\x01\xff\xff") == (48000, 2, 16, [1, -1])
+    assert codecs.disc_pcm(bytes([0xA0, 1, 0, 0, 0, 0x80, 0]) + b"\x00\x01\xff\xff\x07\xfe")[3] == [0x107, -2]
