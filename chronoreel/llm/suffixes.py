@@ -36,7 +36,7 @@ from .common import materialize
 
 LENGTH, GRAM, SYMBOL, SHARDS, HOT = 100, 32, 25, 4, 2000
 #: Bits of a position inside a segment; a segment's windows; runs merged and bytes compared at once.
-BITS, SEGMENT, RUNS_AT_ONCE, BYTES_AT_ONCE = 24, 1 << 23, 1 << 20, 1 << 21
+BITS, SEGMENT, RUNS_AT_ONCE, BYTES_AT_ONCE = 24, 1 << 23, 1 << 20, 1 << 20
 LAST = 2**63 - 1
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -205,6 +205,11 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.int64()), pa.array([pack.compress((t.as_py() or "").encode()) for t in b.column(1)], pa.binary())], ["doc_id", "doc", "packed"])
 
 
+def _spread(doc: int, at: int) -> int:
+    """A key for marks, which need no meeting."""
+    return (doc * 0x9E3779B97F4A7C15 + at * 0xBF58476D1CE4E5B9) % 2**63
+
+
 STRINGS = "kind int, key long, doc long, at long, n long, data binary"
 
 
@@ -228,9 +233,9 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if old is None or (doc, p) < old:
                         windows[s] = (doc, p)
                         if old:
-                            rows.append((MARK, 0, *old, 1, None))
+                            rows.append((MARK, _spread(*old), *old, 1, None))
                     elif (doc, p) > old:
-                        rows.append((MARK, 0, doc, p, 1, None))
+                        rows.append((MARK, _spread(doc, p), doc, p, 1, None))
         rows += [(RUN, int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), *v, 1, s) for s, v in windows.items()]
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         types = (pa.int32(), *(pa.int64(),) * 4, pa.binary())
