@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS = 128, 16, 8, 2, 8, 24
 SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH, RATE, SEED = 4000, 16, 8, 32, 0.004, 7
+#: Steps that training takes at least, however few labels there are.
+LEAST_STEPS = 900
 #: Chunks scored at once.
 AT_ONCE = 4096
 
@@ -79,8 +81,9 @@ class Net:
         self.trained = True
         r, n_pos = np.random.default_rng(SEED), (CHUNK - WIDTH) // STRIDE + 1
         m, s, t = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS) + 1e-4
+        epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(docs) // BATCH)))
+        for epoch in range(epochs):
+            rate = RATE * (1 - epoch / epochs) + 1e-4
             order = r.permutation(len(docs))
             for at in range(0, len(docs), BATCH):
                 pick = order[at : at + BATCH]
