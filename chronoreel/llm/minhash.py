@@ -6,12 +6,12 @@ are fewer words; shingles are 64-bit hashes. Texts with the same word sequence f
 Registers. REGISTERS hash functions each keep their minimum compressed to 16 bits: the number of leading zeros and the next ten
 mantissa bits. BANDS bands of four registers are exact 64-bit keys; a pair at similarity 0.75 meets in at least one with probability
 1 - 1e-8. The estimate of similarity is the share of equal registers, corrected for the chance that unlike minima compress to the same
-register given both set sizes; pairs estimated under LEAST (six standard deviations below the threshold) are not confirmed.
+register given both set sizes; pairs estimated under LEAST (nearly five standard deviations below the threshold) are not confirmed.
 
-Candidates, without emitting all pairs of a bucket: each member pairs with its bucket's least id. Each document's best pair
-is confirmed first; then the pairs that still join different components; then, in buckets that still hold several components, the
-members outside the bucket's largest component are compared to all its members, in blocks, by the estimate. Every confirmation takes
-the full shingle sets of both whole texts. Components come from distributed star steps.
+Candidates, without emitting all pairs of a bucket: a bucket's members point to its least id, and each document is compared
+to the one it points to in most bands. Then, in buckets that still hold several components, the members outside the bucket's
+largest component are compared to all its members, in blocks, by the estimate, each pair in the first band where it meets. Every
+confirmation takes the full shingle sets of both whole texts. Components come from distributed star steps.
 
 Nulls and odd input: null or wordless texts have an empty set and link to nothing; a null doc_id is not linked and is kept; rows
 that share a doc_id are one node of the graph; equal rows get equal results; other columns are ignored; an empty table gives an
@@ -38,7 +38,7 @@ NUM, DEN = 75, 100
 BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-LEAST = 0.55
+LEAST = 0.6
 #: Members and outsiders compared at once in a bucket.
 MEMBERS, OUTSIDERS = 4096, 1024
 #: Words whose hashes a task remembers, and shingles hashed at once.
@@ -156,8 +156,11 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-        est = estimate((_matrix(b.column("ra")) == _matrix(b.column("rb"))).sum(1), na, nb)
-        good = (est >= LEAST) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
+        equal = (_matrix(b.column("ra")) == _matrix(b.column("rb"))).sum(1)
+        good = (equal >= LEAST * REGISTERS) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))  # correction only lowers
+        est = np.zeros(len(equal))
+        est[good] = estimate(equal[good], na[good], nb[good])
+        good &= est >= LEAST
         yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(good)), b.column("b").filter(pa.array(good)), pa.array(est[good])], ["a", "b", "est"])
 
 
@@ -189,7 +192,7 @@ def _outsiders(key, pdf):
     import pandas as pd
 
     regs = np.array(pdf["bands"].tolist(), np.int64).view(np.uint16).reshape(-1, REGISTERS)
-    out_side = pdf["outsider"].to_numpy()
+    out_side, band = pdf["outsider"].to_numpy(), int(key[0])
     o, m = np.nonzero(out_side)[0], np.nonzero(~out_side)[0]
     ids, comp, n = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["n"].to_numpy()
     found = []
@@ -199,11 +202,18 @@ def _outsiders(key, pdf):
         i, j = np.nonzero(apart)
         for s in range(0, len(i), 1 << 15):
             x, y = part[i[s : s + (1 << 15)]], m[j[s : s + (1 << 15)]]
-            est = estimate((regs[x] == regs[y]).sum(1), n[x], n[y])
-            good = est >= LEAST
+            same = regs[x] == regs[y]
+            equal = np.count_nonzero(same, axis=1)
+            good = equal >= LEAST * REGISTERS  # the correction only lowers the estimate
+            # a pair counts in the first band where it meets; it meets there too, as outsider and member of that bucket
+            good &= same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+            x, y, equal = x[good], y[good], equal[good]
+            good = estimate(equal, n[x], n[y]) >= LEAST
             found.append(np.stack([ids[x[good]], ids[y[good]]], 1))
     pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs.min(1) if len(pairs) else pairs[:, 0], "b": pairs.max(1) if len(pairs) else pairs[:, 1]}, dtype=np.int64)
+    # two outsiders meet twice, once on each side
+    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype=np.int64)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -215,35 +225,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = classes.select("id", "n", "bands")
     keys = reps.select("id", F.posexplode("bands").alias("band", "value"))
 
-    # each bucket's least id, for buckets of two or more
+    # each bucket's least id, for buckets of two or more; of its buckets' heads each document meets the one it shares most bands with
     heads = materialize(keys.groupBy("band", "value").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"))
-    stars = keys.join(heads, ["band", "value"]).where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    with_regs = lambda p: p.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("rb")), "b").join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ra")), "a")
-    cand = materialize(with_regs(stars).mapInArrow(_estimated, "a long, b long, est double"))
+    stars = keys.join(heads, ["band", "value"]).where("id > head").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    first = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+    sides = first.join(reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("rb")), "b").join(reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ra")), "a")
+    first = materialize(sides.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated, "a long, b long, est double"))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         return materialize(docs.where("doc_id is not null").mapInArrow(_packed_texts, "id long, packed binary").join(ids, "id", "left_semi"))
 
-    def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs)
         both = pairs.select("a", "b").join(texts.withColumnsRenamed({"id": "b", "packed": "tb"}), "b").join(texts.withColumnsRenamed({"id": "a", "packed": "ta"}), "a")
         return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a long, b long"))
 
-    texts = texts_of(cand)
-    first = materialize(cand.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b"))
-    links = confirm(first, texts)
+    links = confirm(first)
     comp = materialize(components(links))
 
-    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(comp.select(F.col("id").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-        return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-    second = materialize(apart(cand.join(first, ["a", "b"], "left_anti"), comp))
-    if not second.isEmpty():
-        links = links.unionByName(confirm(second, texts))
-        comp = materialize(components(links))
-
     # buckets that still hold several components: outsiders of the largest one against all members
     at = reps.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     member = materialize(keys.join(heads.select("band", "value"), ["band", "value"], "left_semi").join(at, "id"))
@@ -257,10 +257,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         cols = ["band", "value", "id", "component", "n", "bands"]
         inner = split.select(*cols, spread(F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("outsider"))
         outer = split.where("component <> main").select(*cols, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), spread(F.col("blocks")).alias("block"), F.lit(True).alias("outsider"))
-        third = inner.unionByName(outer).groupBy("band", "value", "chunk", "block").applyInPandas(_outsiders, "a long, b long").distinct().join(cand, ["a", "b"], "left_anti")
+        third = inner.unionByName(outer).groupBy("band", "value", "chunk", "block").applyInPandas(_outsiders, "a long, b long").join(first, ["a", "b"], "left_anti")
         third = materialize(third)
         if not third.isEmpty():
-            links = links.unionByName(confirm(third, texts_of(third)))
+            links = links.unionByName(confirm(third))
             comp = components(links)
 
     ends = materialize(classes.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
