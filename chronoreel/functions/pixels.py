@@ -108,3 +108,45 @@ def first_difference(a: Column, b: Column) -> Column:
     unlike = F.zip_with(a, b, lambda p, q: ~p.eqNullSafe(q))
     place = F.array_position(unlike, True)
     return F.when(place > 0, place - 1)
+
+
+def cosine_basis(n: int = 8, bits: int = 12) -> list[list[int]]:
+    """The n-point cosine transform as whole numbers in 1/2**bits: row k, column i."""
+    import math
+
+    rows = []
+    for k in range(n):
+        scale = math.sqrt((1 if k == 0 else 2) / n) * (1 << bits)
+        rows.append([math.floor(scale * math.cos((2 * i + 1) * k * math.pi / (2 * n)) + 0.5) for i in range(n)])
+    return rows
+
+
+def dct8x8(a: Column, inverse: bool = False, bits: int = 12) -> Column:
+    """Two-dimensional cosine transform of 64 ints in row order, rounded after each pass."""
+    basis = F.array(*(F.array(*map(F.lit, row)) for row in cosine_basis(8, bits)))
+    half = 1 << (bits - 1)
+
+    def one_pass(block: Column, table: Column, along_rows: bool) -> Column:
+        def at(p: Column) -> Column:
+            r, c = F.shiftright(p, 3), p.bitwiseAND(F.lit(7))
+            line, k = (r, c) if along_rows else (c, r)
+            total = sum(
+                F.get(block, line * 8 + i if along_rows else line + 8 * i) * (F.get(F.get(table, F.lit(i)), k) if inverse else F.get(F.get(table, k), F.lit(i)))
+                for i in range(8)
+            )
+            return F.shiftright(total + half, bits)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), at)
+
+    once = F.transform(F.array(F.struct(a.alias("a"), basis.alias("t"))), lambda s: F.struct(one_pass(s["a"], s["t"], True).alias("a"), s["t"].alias("t")))
+    return F.element_at(F.transform(once, lambda s: one_pass(s["a"], s["t"], False)), 1)
+
+
+def motion_search(block: Column, window: Column, width: int, size: int, reach: int) -> Column:
+    """The shift (dx, dy) of a size by size block in a window of that width with the least sum of absolute differences; the block's own
+    place is (reach, reach) in the window, ties go to the first in row order."""
+    tries = []
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            tries.append(F.struct(sad(block, crop(window, width, reach + dx, reach + dy, size, size)).alias("sad"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")))
+    return F.array_min(F.array(*tries))

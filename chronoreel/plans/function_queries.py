@@ -318,3 +318,34 @@ def math_util(spark, d):
 def array_ops(spark, d):
     v = F.col("v")
     return blocks(spark, d).select("vec_id", S.rotate(v, 5).alias("turned"), S.permute(v, [2, 0, 1]).alias("picked"), F.array_max(v).alias("high"), F.array_min(v).alias("low"))
+
+
+def _basis() -> str:
+    return "[" + ", ".join("[" + ", ".join(map(str, row)) + "]" for row in X.cosine_basis()) + "]"
+
+
+def _dct(block: str, along_rows: bool) -> str:
+    at = lambda i: f"{block}[(i // 8) * 8 + {i + 1}] * t[i % 8 + 1][{i + 1}]" if along_rows else f"{block}[i % 8 + {8 * i + 1}] * t[i // 8 + 1][{i + 1}]"
+    return _list("64", "((" + " + ".join(at(i) for i in range(8)) + " + 2048) >> 12)::int")
+
+
+@query("dct", f"with {EMB}, b as (select {_basis()} as t), r as (select vec_id, t, {_dct('v', True)} as h from e, b) select vec_id, {_dct('h', False)} as out from r")
+def dct(spark, d):
+    return blocks(spark, d).select("vec_id", X.dct8x8(F.col("v")).alias("out"))
+
+
+@query("dct_round_trip", f"with {EMB} select vec_id, true as near from e")
+def dct_round_trip(spark, d):
+    back = blocks(spark, d).select("vec_id", "v", X.dct8x8(F.col("v")).alias("c")).select("vec_id", "v", X.dct8x8(F.col("c"), True).alias("w"))
+    return back.select("vec_id", (F.array_max(F.zip_with("v", "w", lambda a, b: F.abs(a - b))) <= 3).alias("near"))
+
+
+def _sad_at(dy: int, dx: int) -> str:
+    cells = [(r, c) for r in range(4) for c in range(4)]
+    return " + ".join(f"abs(v[{(r + 2) * 8 + c + 2 + 1}] + {(r * c) % 3} - v[{(r + 2 + dy) * 8 + c + 2 + dx + 1}])" for r, c in cells)
+
+
+@query("motion_search", f"with {EMB}, s as (select vec_id, list_min([" + ", ".join(f"({_sad_at(dy, dx)})::bigint * 100 + {(dy + 2) * 10 + dx + 2}" for dy in range(-2, 3) for dx in range(-2, 3)) + "]) as m from e) select vec_id, m // 100 as sad, (m % 100 // 10 - 2)::int as dy, (m % 10 - 2)::int as dx from s")
+def motion_search(spark, d):
+    own = F.transform(X.crop(F.col("v"), 8, 2, 2, 4, 4), lambda x, i: x + (F.shiftright(i, 2) * (i % 4)) % 3)
+    return blocks(spark, d).select("vec_id", X.motion_search(own, F.col("v"), 8, 4, 2).alias("m")).select("vec_id", "m.sad", "m.dy", "m.dx")

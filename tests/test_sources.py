@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from chronoreel.sources import boxes, images, mpeg, simple, sinks
+from chronoreel.sources import boxes, images, manifest, mpeg, simple, sinks
 
 PACKETS = "path string, frame_no long, pts long, timescale int, duration long, key boolean, data binary"
 
@@ -162,3 +162,13 @@ def test_sequences_headers_and_junk(spark, tmp_path, put):
     junk = put("junk", b"\xff" * 500)
     for read in (simple.read_wav, simple.read_y4m, simple.read_ivf, simple.read_flv, simple.read_adts, images.read_png, boxes.read_tracks, mpeg.read_ts):
         assert read(spark, junk).count() == 0
+
+
+def test_manifest(spark, put):
+    mpd = b"""<?xml version="1.0"?><MPD xmlns="urn:mpeg:dash:schema:mpd:2011" mediaPresentationDuration="PT10S"><Period><AdaptationSet mimeType="video/mp4">
+    <SegmentTemplate timescale="1000" duration="4000" startNumber="3" media="$RepresentationID$/s$Number%04d$.m4s"/><Representation id="v1" bandwidth="9"/></AdaptationSet>
+    <AdaptationSet><Representation id="a1" mimeType="audio/mp4"><SegmentTemplate timescale="10" media="a$Time$$$"><SegmentTimeline><S t="5" d="20" r="1"/><S d="7"/></SegmentTimeline></SegmentTemplate></Representation></AdaptationSet></Period></MPD>"""
+    got = [tuple(r)[3:] for r in manifest.read_mpd(spark, put("a.mpd", mpd)).orderBy("adaptation", "number").collect()]
+    assert got[:3] == [("v1", "video/mp4", 9, 1000, 3 + i, 4000 * i, (4000, 4000, 2000)[i], f"v1/s000{3 + i}.m4s") for i in range(3)]
+    assert [(g[5], g[6], g[7]) for g in got[3:]] == [(5, 20, "a5$"), (25, 20, "a25$"), (45, 7, "a45$")]
+    assert manifest.read_mpd(spark, put("b.mpd", b"<x")).count() == 0
