@@ -41,6 +41,8 @@ MANTISSA = 10
 LEAST = 0.6
 #: Members and outsiders compared at once in a bucket.
 MEMBERS, OUTSIDERS = 4096, 1024
+#: Registers compared at first in a bucket, and how many must be equal: at 0.75 fewer are with probability 1e-7.
+FEW, FEW_LEAST = 48, 20
 #: Words whose hashes a task remembers, and shingles hashed at once.
 WORDS, AT_ONCE = 500_000, 1 << 18
 _U = np.uint64
@@ -188,32 +190,55 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _outsiders(key, pdf):
-    """In a block of a bucket, outsiders against members of other components, by the estimate."""
+    """In a block of a bucket, outsiders against members of other components: by a few registers, then by the estimate, then by the full
+    sets. Of the links found, enough to join what they join."""
     import pandas as pd
 
     regs = np.array(pdf["bands"].tolist(), np.int64).view(np.uint16).reshape(-1, REGISTERS)
+    columns = np.ascontiguousarray(regs.T[:FEW])
     out_side, band = pdf["outsider"].to_numpy(), int(key[0])
     o, m = np.nonzero(out_side)[0], np.nonzero(~out_side)[0]
     ids, comp, n = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["n"].to_numpy()
-    found = []
+    sh, unpack, texts, sets = Shingles(), zstandard.ZstdDecompressor(), pdf["packed"].tolist(), {}
+    links, up = [], {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x] = up[up[x]]
+        return x
+
+    def shingles(i):
+        if i not in sets:
+            sets[i] = sh.of(unpack.decompress(texts[i]).split())
+        return sets[i]
+
     for at in range(0, len(o), 64):
         part = o[at : at + 64]
-        apart = (comp[part][:, None] != comp[m][None, :]) & (DEN * np.minimum(n[part][:, None], n[m][None, :]) >= NUM * np.maximum(n[part][:, None], n[m][None, :]))
-        i, j = np.nonzero(apart)
-        for s in range(0, len(i), 1 << 15):
-            x, y = part[i[s : s + (1 << 15)]], m[j[s : s + (1 << 15)]]
-            same = regs[x] == regs[y]
+        few = np.zeros((len(part), len(m)), np.uint8)
+        for c in columns:
+            few += c[part][:, None] == c[m][None, :]
+        i, j = np.nonzero(few >= FEW_LEAST)
+        x, y = part[i], m[j]
+        apart = (comp[x] != comp[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
+        x, y = x[apart], y[apart]
+        for s in range(0, len(x), 1 << 15):
+            p, q = x[s : s + (1 << 15)], y[s : s + (1 << 15)]
+            same = regs[p] == regs[q]
             equal = np.count_nonzero(same, axis=1)
             good = equal >= LEAST * REGISTERS  # the correction only lowers the estimate
             # a pair counts in the first band where it meets; it meets there too, as outsider and member of that bucket
             good &= same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
-            x, y, equal = x[good], y[good], equal[good]
-            good = estimate(equal, n[x], n[y]) >= LEAST
-            found.append(np.stack([ids[x[good]], ids[y[good]]], 1))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    # two outsiders meet twice, once on each side
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}, dtype=np.int64)
+            p, q, equal = p[good], q[good], equal[good]
+            good = estimate(equal, n[p], n[q]) >= LEAST
+            for u, v in zip(p[good].tolist(), q[good].tolist(), strict=True):
+                if find(comp[u]) == find(comp[v]):
+                    continue
+                a, b = shingles(u), shingles(v)
+                both = len(a) + len(b) - len(np.union1d(a, b))
+                if DEN * both >= NUM * (len(a) + len(b) - both):
+                    links.append((min(ids[u], ids[v]), max(ids[u], ids[v])))
+                    up[find(comp[u])] = find(comp[v])
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -254,14 +279,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         chunks, blocks = F.ceil(F.col("size") / MEMBERS).cast("int"), F.ceil((F.col("size") - F.col("most")) / OUTSIDERS).cast("int")
         spread = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
         split = member.join(mixed, ["band", "value"]).join(reps, "id").withColumns({"chunks": chunks, "blocks": blocks})
-        cols = ["band", "value", "id", "component", "n", "bands"]
+        wanted = member.join(mixed.select("band", "value"), ["band", "value"], "left_semi").select("id").distinct()
+        texts = materialize(docs.where("doc_id is not null").mapInArrow(_packed_texts, "id long, packed binary").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("packed").alias("packed")))
+        cols = ["band", "value", "id", "component", "n", "bands", "packed"]
+        split = split.join(texts, "id")
         inner = split.select(*cols, spread(F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("outsider"))
         outer = split.where("component <> main").select(*cols, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), spread(F.col("blocks")).alias("block"), F.lit(True).alias("outsider"))
-        third = inner.unionByName(outer).groupBy("band", "value", "chunk", "block").applyInPandas(_outsiders, "a long, b long").join(first, ["a", "b"], "left_anti")
-        third = materialize(third)
-        if not third.isEmpty():
-            links = links.unionByName(confirm(third))
-            comp = components(links)
+        found = inner.unionByName(outer).groupBy("band", "value", "chunk", "block").applyInPandas(_outsiders, "a long, b long")
+        comp = components(links.unionByName(materialize(found)))
 
     ends = materialize(classes.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")))
     out = sig.select("doc_id", "n_shingles", "digest").join(ends, "digest", "left")
