@@ -40,6 +40,23 @@ def reference_order(pictures: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("track_id", "poc", "ref_poc", (F.row_number().over(w(1)) - 1).alias("list0"), (F.row_number().over(w(0)) - 1).alias("list1"))
 
 
+def reference_window(pictures: DataFrame, depth: int = 16) -> DataFrame:
+    """Every picture (track_id, decode_no, poc, key) with the references its decoder holds: the depth pictures decoded before it, none
+    from before the last key picture, which clears the buffer. Lists as in reference_order; where both would be equal and longer than
+    one, list 1 has its first two swapped. A window per track: rows grow with depth, never with the pairs of a track."""
+    order = Window.partitionBy("track_id").orderBy("decode_no")
+    since_key = F.coalesce(F.sum(F.col("key").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    buffer = Window.partitionBy("track_id", "__gop").orderBy("decode_no").rowsBetween(-depth, -1)
+    held = pictures.withColumn("__gop", since_key).withColumn("__refs", F.array_sort(F.collect_list("poc").over(buffer)))
+    past = F.reverse(F.filter("__refs", lambda r: r < F.col("poc")))
+    future = F.filter("__refs", lambda r: r > F.col("poc"))
+    lists = held.select("track_id", "poc", F.concat(past, future).alias("__l0"), F.concat(future, past).alias("__l1"))
+    swapped = F.concat(F.slice("__l1", 2, 1), F.slice("__l1", 1, 1), F.slice("__l1", 3, depth))
+    lists = lists.withColumn("__l1", F.when((F.size("__l1") > 1) & (F.col("__l0") == F.col("__l1")), swapped).otherwise(F.col("__l1")))
+    rows = lists.select("track_id", "poc", F.posexplode("__l0").alias("list0", "ref_poc"), "__l1")
+    return rows.select("track_id", "poc", "ref_poc", "list0", (F.array_position("__l1", F.col("ref_poc")) - 1).cast("int").alias("list1"))
+
+
 def stream_info(packets: DataFrame) -> DataFrame:
     """Per track and kind of packet: packets, bytes and mean gap in ticks, truncating."""
     per = packets.groupBy("track_id", "media").agg(F.count("*").alias("packets"), F.sum("size").alias("bytes"), F.min("pts").alias("__a"), F.max("pts").alias("__b"))

@@ -275,6 +275,16 @@ def reference_lists(spark, d):
     return S.reference_order(refs, near.where("frame_no % 8 = 3").select("track_id", F.col("frame_no").alias("poc")))
 
 
+@query("reference_lists_all", PK + """, d as (select track_id, frame_no as poc, row_number() over w as n, coalesce(sum(key::bigint) over (partition by track_id order by xor(frame_no, 1) rows between unbounded preceding and current row), 0)::bigint as gop
+    from pk window w as (partition by track_id order by xor(frame_no, 1))), b as (select c.track_id, c.poc, r.poc as ref_poc from d c join d r on r.track_id = c.track_id and r.gop = c.gop and r.n between c.n - 16 and c.n - 1),
+    l as (select *, row_number() over (partition by track_id, poc order by ref_poc > poc, abs(ref_poc - poc)) - 1 as l0, row_number() over (partition by track_id, poc order by ref_poc < poc, abs(ref_poc - poc)) - 1 as l1,
+    count(*) over p > 1 and (bool_and(ref_poc < poc) over p or bool_and(ref_poc > poc) over p) as same from b window p as (partition by track_id, poc))
+    select track_id, poc, ref_poc, l0::int as list0, case when same and l1 < 2 then 1 - l1 else l1 end::int as list1 from l""")
+def reference_lists_all(spark, d):
+    pictures = pk(spark, d).select("track_id", F.col("frame_no").bitwiseXOR(F.lit(1).cast("long")).alias("decode_no"), F.col("frame_no").alias("poc"), "key")
+    return S.reference_window(pictures)
+
+
 @query("frame_num_unwrap", PK + "select track_id, frame_no, frame_no % 16 as frame_num, (frame_no * 5) % 16 as ref_num, case when (frame_no * 5) % 16 > frame_no % 16 then (frame_no * 5) % 16 - 16 else (frame_no * 5) % 16 end as unwrapped from pk")
 def frame_num_unwrap(spark, d):
     return S.frame_number_unwrap(pk(spark, d).select("track_id", "frame_no", (F.col("frame_no") % 16).alias("frame_num"), (F.col("frame_no") * 5 % 16).alias("ref_num")), 16)

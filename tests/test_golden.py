@@ -129,3 +129,22 @@ def test_packed_pictures_and_disc_pcm():
     head = bytes([0xA0, 1, 0, 0, 0, 0x01, 0])
     assert codecs.disc_pcm(head + b"\x00\x01\xff\xff") == (48000, 2, 16, [1, -1])
     assert codecs.disc_pcm(bytes([0xA0, 1, 0, 0, 0, 0x80, 0]) + b"\x00\x01\xff\xff\x07\xfe")[3] == [0x107, -2]
+
+
+def test_reference_window_holds_every_picture(spark):
+    decoded = [1, 0, 3, 2] + list(range(4, 60))  # two swapped pairs, then in order; picture 50 is a key picture
+    rows = [(t, n, poc, poc == 50) for t in (1, 2) for n, poc in enumerate(decoded)]
+    got = streams.reference_window(spark.createDataFrame(rows, "track_id long, decode_no long, poc long, key boolean"), 4).collect()
+    want = set()
+    for t in (1, 2):
+        held = []
+        for poc in decoded:
+            held = [] if poc == 50 else held[-4:]
+            past, future = sorted((r for r in held if r < poc), reverse=True), sorted(r for r in held if r > poc)
+            l0, l1 = past + future, future + past
+            if l0 == l1 and len(l1) > 1:
+                l1[:2] = l1[1::-1]
+            want |= {(t, poc, r, l0.index(r), l1.index(r)) for r in held}
+            held.append(poc)
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert max(r["poc"] for r in got) == 59
