@@ -117,6 +117,11 @@ def byte_histogram(spark, d):
     return runs.value_counts(chars.withColumn("value", F.ascii("c")), "value")
 
 
+@query("byte_histogram_all", "with b as (select unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents) select ('0x' || h)::int as value, count(*) as count from b group by h")
+def byte_histogram_all(spark, d):
+    return runs.byte_counts(table(spark, d, "documents").select("text"))
+
+
 @query("dictionary_codes", "with c as (select source, lang as value, count(*) as count from documents group by all) select source, value, count, least(2, row_number() over (partition by source order by count desc, value) - 1)::bigint as code from c")
 def dictionary_codes(spark, d):
     docs = table(spark, d, "documents").select("source", F.col("lang").alias("value"))

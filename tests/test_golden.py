@@ -148,3 +148,11 @@ def test_reference_window_holds_every_picture(spark):
             held.append(poc)
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert max(r["poc"] for r in got) == 59
+
+
+def test_byte_counts_sees_every_byte(spark):
+    texts = ["Aa\n\tÉ~\x00\x7f", "", None, "日本 🎬\r\n" * 50, "".join(map(chr, range(256)))]
+    got = runs.byte_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    data = b"".join((t or "").encode() for t in texts)
+    assert {r["value"]: r["count"] for r in got} == {v: data.count(v) for v in set(data)} and len(got) == len(set(data))
+    assert sum(r["count"] for r in got) == len(data)
