@@ -37,3 +37,8 @@ def stream_gop_state(spark, d):
     select track_id, event_id, out_no from r where out_no < n - 7""")
 def stream_reorder(spark, d):
     return P.run_available(P.reorder(P.read_events(spark, d)), _name("reorder"))
+
+
+@query("stream_reorder_all", "select user_id as track_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as out_no from events")
+def stream_reorder_all(spark, d):
+    return P.reorder_all(P.read_events(spark, d))

@@ -6,14 +6,19 @@ packet needs (the running group, or at most depth held frames), never a whole tr
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import event_packets
 
+REORDERED = "track_id long, event_id long, out_no long"
+
 
 def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
     """Events and bytes per window of event time; rows later than late behind the newest are left out, as a watermark means."""
@@ -37,6 +42,11 @@ def gop_state(events: DataFrame) -> DataFrame:
     return rows.groupBy("track_id").applyInPandasWithState(step, "track_id long, event_id long, gop long", "n long", "append", "NoTimeout")
 
 
+def _shared(spark) -> str:
+    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chronoreel-')}").rstrip("/")
+
+
 def reorder(events: DataFrame, depth: int = 7) -> DataFrame:
     """Packets released by least event_id from a buffer of depth a track; what is still held when input ends stays held."""
     rows = events.select(F.col("user_id").alias("track_id"), "event_id")
@@ -58,6 +68,31 @@ def reorder(events: DataFrame, depth: int = 7) -> DataFrame:
     return rows.groupBy("track_id").applyInPandasWithState(step, "track_id long, event_id long, out_no long", "held array<long>, n long", "append", "NoTimeout")
 
 
+def reorder_all(events: DataFrame, depth: int = 7) -> DataFrame:
+    """Every packet of what is there now by least event_id, the buffers flushed when the input ends.
+
+    A shuffle doesn't keep the order of rows, so each micro-batch of a track is sorted together with what was held. The stream runs to
+    its end into shared files; then one batch pass over its last state releases what is still held, numbered on from n."""
+    rows = events.select(F.col("user_id").alias("track_id"), "event_id")
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        seen = np.sort(np.concatenate([np.array(held, "int64"), *(pdf["event_id"].to_numpy("int64") for pdf in frames)]))
+        out = seen[: max(0, len(seen) - depth)]
+        state.update((seen[len(out) :].tolist(), n + len(out)))
+        yield pd.DataFrame({"track_id": pd.array([key[0]] * len(out), "Int64"), "event_id": out, "out_no": np.arange(n, n + len(out))})
+
+    spark = events.sparkSession
+    top = f"{_shared(spark)}/reorder-{uuid.uuid4().hex}"
+    stream = rows.groupBy("track_id").applyInPandasWithState(step, REORDERED, "held array<long>, n long", "append", "NoTimeout")
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start(f"{top}/out")
+    q.awaitTermination()
+    released = spark.read.schema(REORDERED).parquet(f"{top}/out")
+    state = spark.read.format("statestore").load(f"{top}/state")
+    held = state.select(F.col("key.track_id").alias("track_id"), F.posexplode("value.groupState.held").alias("i", "event_id"), F.col("value.groupState.n").alias("n"))
+    return released.unionByName(held.select("track_id", "event_id", (F.col("n") + F.col("i")).alias("out_no")))
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return its result as a table."""
     spark = stream.sparkSession

@@ -13,6 +13,7 @@ from chronoreel.operators import repair as X
 from chronoreel.operators import runs
 from chronoreel.operators import streams
 from chronoreel.operators.intervals import interval_join
+from chronoreel.streaming import packets as stream
 
 EDIT = "track_id long, ord int, duration long, media_time long"
 
@@ -156,3 +157,16 @@ def test_byte_counts_sees_every_byte(spark):
     data = b"".join((t or "").encode() for t in texts)
     assert {r["value"]: r["count"] for r in got} == {v: data.count(v) for v in set(data)} and len(got) == len(set(data))
     assert sum(r["count"] for r in got) == len(data)
+
+
+def test_stream_reorder_flushes_every_track(spark, tmp_path):
+    swapped = [(1, i ^ 1) for i in range(20)] + [(2, i) for i in (102, 100, 101)] + [(3, 200 + i) for i in range(8)] + [(None, 300)]
+    later = [(1, 20 + i) for i in range(3)] + [(4, 400)]
+    for name, rows in (("events.parquet", swapped), ("events.parquet2", later)):
+        spark.createDataFrame(rows, "user_id long, event_id long").coalesce(1).write.parquet(str(tmp_path / name))
+    got = stream.reorder_all(stream.read_events(spark, str(tmp_path))).collect()
+    tracks = {}
+    for track, event in swapped + later:
+        tracks.setdefault(track, []).append(event)
+    want = [(track, event, n) for track, events in tracks.items() for n, event in enumerate(sorted(events))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
