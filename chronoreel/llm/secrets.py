@@ -3,12 +3,13 @@
 Base. Leftmost non-overlapping matches of each kind; those that are too short are dropped after matching.
 
 Battery. Candidates are maximal runs of token characters of MIN_TOKEN or more that hold a digit and a letter. Each gets the
-smallest encoding that explains it (hex, base32, base36, base64), is mapped to that alphabet's numbers, and takes three tests of the
-hypothesis "drawn uniformly": chi-squared over the alphabet (in as many equal bins as the length supports), Wald-Wolfowitz runs
-about the middle, and lag-1 serial correlation. The three are combined by the smallest p times three. Over a document's tokens the
-hypothesis is then put to Benjamini-Hochberg rejection with weights in proportion to length (long tokens have the power to be told
-apart, so they get more of the error budget). What is not rejected at LEVEL looks random and is added as kind random, unless
-a base span covers it.
+smallest encoding that explains it (hex, base32, base36, base64, or base64 with both sets of its last two characters), is mapped to
+that alphabet's numbers, and takes three tests of the hypothesis "drawn uniformly": chi-squared over the alphabet (in as many equal
+bins as the length supports), Wald-Wolfowitz runs about the middle, and lag-1 serial correlation. The three are combined by the
+smallest p times three. Over a document's tokens the hypothesis is then put to Benjamini-Hochberg rejection with weights in proportion
+to length (long tokens have the power to be told apart, so they get more of the error budget). What is not rejected at LEVEL looks
+random and is added as kind random, unless base spans cover all of it; of a token that they cover in part the rest is tested (all of it
+where the rest is short) and the whole is marked.
 
 Nulls and odd input: a null or empty text has no spans; whole texts are scanned; duplicates get equal results; other columns are
 kept by redact() and ignored by scan(); an empty table gives an empty result. Positions are code points, ends exclusive.
@@ -42,6 +43,7 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+ONE_BASE64 = str.maketrans("-_", "+/")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -94,16 +96,29 @@ def uniform_p(token: str, alphabet: str) -> float:
     return min(1.0, 3 * min(p1, p2, p3))
 
 
+def tested(token: str, taken: list[tuple[int, int]]) -> str:
+    """What the battery looks at: the token without its base spans, or all of it where less than MIN_TOKEN is left; nothing where base
+    spans cover it all."""
+    rest, at = [], 0
+    for s, e in sorted(taken):
+        rest.append(token[at : max(at, s)])
+        at = max(at, e)
+    left = "".join([*rest, token[at:]])
+    return left if len(left) >= MIN_TOKEN or not left else token
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found = []
     for m in TOKEN.finditer(text):
-        token = m[0]
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(s < m.end() and m.start() < e for s, _, e in taken) and (kind := encoding(token)):
-            found.append((m.start(), m.end(), uniform_p(token, kind[1])))
+        token = tested(m[0], [(s - m.start(), e - m.start()) for s, _, e in taken if s < m.end() and m.start() < e])
+        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
+            if not encoding(token):  # both variants of base64 in one run: their last two characters have the same numbers
+                token = token.translate(ONE_BASE64)
+            found.append((m.start(), m.end(), len(token), uniform_p(token, encoding(token)[1])))
     if not found:
         return []
-    total = sum(e - s for s, e, _ in found)
-    weighed = sorted((p * total / (len(found) * (e - s)), s, e) for s, e, p in found)
+    total = sum(n for _, _, n, _ in found)
+    weighed = sorted((p * total / (len(found) * n), s, e) for s, e, n, p in found)
     rejected = max((i for i, (p, _, _) in enumerate(weighed, 1) if p <= LEVEL * i / len(weighed)), default=0)
     return [(s, 3, e) for _, s, e in weighed[rejected:]]
 

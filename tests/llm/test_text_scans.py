@@ -29,6 +29,22 @@ def test_random_tokens_are_told_from_words():
     assert not secrets.random_spans("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 abcabcabcabcabcabcabcabcabcabc1", [])
 
 
+def test_mixed_and_partly_covered_tokens_reach_the_battery():
+    r = random.Random(5)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    draw = lambda n: "".join(r.choice(b64) for _ in range(n))
+    mixed = ["sk-" + draw(20) + "/" + draw(20) for _ in range(200)]
+    assert sum(secrets.redacted(f"x {t} y") == "x [SECRET] y" for t in mixed) >= 170
+    partly = [draw(20) + "G" + "".join(r.choice("0123456789abcdef") for _ in range(24)) + "G" + draw(20) for _ in range(200)]
+    assert sum(secrets.redacted(f"x {t} y") == "x [SECRET] y" for t in partly) >= 170
+    words = "the-quick/brown_fox-jumps/over_the-lazy/dog_number-1"
+    assert secrets.redacted(words) == words
+    covered = "deadbeef01" * 4
+    assert secrets.all_spans(covered)[1] == [(0, 2, 40)]
+    path = "some/words-of_a/path-" + covered
+    assert secrets.redacted(path) == "some/words-of_a/path-[SECRET]"
+
+
 def test_scan_odd_input(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "password: hunter22 " * 3000, 0), (3, "password: hunter22 " * 3000, 0), (None, "token=abcdef", 0)], "doc_id long, text string, spans int")
     got = secrets.scan(df).collect()
