@@ -10,7 +10,8 @@ Scale. Every join is by call identifier, never by conversation, so a conversatio
 repeat an identifier are reduced before they meet; rounds carry identifiers only.
 
 Nulls and odd input: rows without an identifier take no part; of rows that repeat one the least (name, arguments, after) is used and
-n_rows counts them, and of results the least content; an after that names no call is a root's; a call in or behind a cycle has a null
+n_rows counts them, and of results the least content, and n_results counts them; a result that names no call has a row of its own with
+n_rows 0, no name and level, linked false and the error "no call"; an after that names no call is a root's; a call in or behind a cycle has a null
 level; arguments that are null or no JSON object are invalid, and canonical JSON then holds null; a call without a result has a null
 one; other columns are ignored; empty tables give empty results.
 """
@@ -68,20 +69,24 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """-> call_id, name, level, n_rows, linked, valid, errors, canonical; one row per call identifier, ordered by nothing: sort by level, call_id."""
+    """-> call_id, name, level, n_rows, n_results, linked, valid, errors, canonical; one row per identifier of a call or a result, ordered by
+    nothing: sort by level, call_id."""
     calls = calls.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("name", "arguments", "after")).alias("c"), F.count("*").alias("n_rows"))
     calls = calls.select("call_id", "c.*", "n_rows")
-    results = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
+    results = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
     order = levels(materialize(calls.select("call_id", "after")))
-    both = calls.join(results, "call_id", "left").join(order, "call_id")
-    both = both.withColumn("parsed", F.try_parse_json("arguments")).withColumn("errors", F.array_join(errors(F.col("name"), F.col("parsed"), schemas), "; "))
+    both = calls.join(order, "call_id").join(results, "call_id", "full")
+    why = F.when(F.col("n_rows").isNull(), "no call").otherwise(F.array_join(errors(F.col("name"), F.col("parsed"), schemas), "; "))
+    both = both.withColumn("parsed", F.try_parse_json("arguments")).withColumn("errors", why)
     is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
     part = lambda c: F.coalesce(c, F.lit("null"))
     canonical = F.concat(
         F.lit('{"arguments":'), part(F.when(is_object, F.to_json("parsed"))), F.lit(',"id":'), part(json_string(F.col("call_id"))), F.lit(',"level":'), part(F.col("level").cast("string")),
         F.lit(',"name":'), part(json_string(F.col("name"))), F.lit(',"result":'), part(json_string(F.col("content"))), F.lit("}"),
     )
-    return both.select("call_id", "name", "level", "n_rows", F.coalesce("linked", F.lit(False)).alias("linked"), (F.col("errors") == "").alias("valid"), "errors", canonical.alias("canonical"))
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    linked = F.col("n_rows").isNotNull() & F.col("n_results").isNotNull()
+    return both.select("call_id", "name", "level", n("n_rows"), n("n_results"), linked.alias("linked"), (F.col("errors") == "").alias("valid"), "errors", canonical.alias("canonical"))
 
 
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +103,20 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def all_turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """turns_as_calls() and the turns it leaves out: each turn that is neither a user's nor an assistant's is a call named by its role,
+    under an identifier of its own (conversation:turn:role) and with no result. Assistant turns not right after a user turn are
+    results that name no call."""
+    calls, results = turns_as_calls(messages)
+    rows = messages.where("conv_id is not null and turn is not null and coalesce(role, '') not in ('user', 'assistant')")
+    role = F.coalesce("role", F.lit("none"))
+    said = F.to_json(F.struct(F.col("turn").cast("long").alias("turn"), "text"), {"ignoreNullFields": "true"})
+    others = rows.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), role).alias("call_id"), F.lit(None).cast("string").alias("after"), role.alias("name"), said.alias("arguments"))
+    return calls.unionByName(others), results
+
+
 REPLY = {"reply": {"properties": {"prompt": "string", "turn": "integer"}, "required": ["prompt", "turn"]}}
+TURNS = REPLY | {"system": {"properties": {"text": "string", "turn": "integer"}, "required": ["text", "turn"]}}
 
 ORACLE = """
 with recursive m as (select conv_id || ':' || turn as id, conv_id || ':' || (turn - 1) as prev, conv_id || ':' || (turn - 2) as before, turn, role, text
@@ -112,3 +130,13 @@ l as (select id, 0::bigint as level from e where parent is null union all select
 select e.id as call_id, 'reply' as name, l.level, e.n_rows::bigint as n_rows, r.call_id is not null as linked, e.text <> chr(1) as valid, case when e.text = chr(1) then 'prompt missing' else '' end as errors,
     '{"arguments":' || e.arguments || ',"id":"' || e.id || '","level":' || l.level || ',"name":"reply","result":' || coalesce(to_json(r.content)::varchar, 'null') || '}' as canonical
 from e join l on e.id = l.id left join r on r.call_id = e.id"""
+
+ORACLE_ALL = f"""
+with o as ({ORACLE}), m as (select conv_id || ':' || turn as id, conv_id || ':' || (turn - 1) as prev, turn, coalesce(role, 'none') as role, text from conversations where conv_id is not null and turn is not null),
+r as (select prev as call_id, min(text) as content, count(*)::bigint as n_results from m where role = 'assistant' group by prev),
+s0 as (select id || ':' || role as call_id, role, turn, text, '{{"turn":' || turn || case when text is null then '' else ',"text":' || to_json(text)::varchar end || '}}' as raw from m where role not in ('user', 'assistant')),
+s as (select call_id, any_value(role) as role, any_value(turn) as turn, nullif(arg_min(coalesce(text, chr(1)), raw), chr(1)) as text, count(*)::bigint as n_rows from s0 group by call_id)
+select o.call_id, name, level, n_rows, coalesce(n_results, 0) as n_results, linked, valid, errors, canonical from o left join r using (call_id)
+union all select call_id, null, null, 0, n_results, false, false, 'no call', '{{"arguments":null,"id":"' || call_id || '","level":null,"name":null,"result":' || coalesce(to_json(content)::varchar, 'null') || '}}' from r where call_id not in (select call_id from o)
+union all select call_id, role, 0, n_rows, 0, false, role = 'system' and text is not null, case when role <> 'system' then 'unknown tool' when text is null then 'text missing' else '' end,
+    '{{"arguments":{{' || case when text is null then '' else '"text":' || to_json(text)::varchar || ',' end || '"turn":' || turn || '}},"id":"' || call_id || '","level":0,"name":' || to_json(role)::varchar || ',"result":null}}' from s"""

@@ -175,6 +175,28 @@ def test_tool_calls_agree_with_sql(spark, data):
     assert sorted(map(str, (tuple(r) for r in out.select(*rel.columns).collect()))) == sorted(map(str, rel.fetchall()))
 
 
+def test_orphan_results_and_all_turns(spark, data, tmp_path):
+    calls = spark.createDataFrame([("a", None, "add", "{}")], "call_id string, after string, name string, arguments string")
+    results = spark.createDataFrame([("a", "2"), ("a", "1"), ("zz", "lost"), ("zz", "lost too")], "call_id string, content string")
+    got = {r["call_id"]: r for r in toolcalls.link(calls, results, {"add": {"properties": {}}}).collect()}
+    assert sorted(got) == ["a", "zz"] and got["a"]["linked"] and [got[k]["n_results"] for k in ("a", "zz")] == [2, 2]
+    zz = got["zz"]
+    assert (zz["linked"], zz["n_rows"], zz["valid"], zz["errors"], zz["level"]) == (False, 0, False, "no call", None)
+    assert json.loads(zz["canonical"]) == {"arguments": None, "id": "zz", "level": None, "name": None, "result": "lost"}
+    odd = [(1, 0, "system", "be \"kind\""), (1, 0, "system", "be brief"), (1, 1, "assistant", "hello"), (1, 2, "user", "hi"), (1, 3, "assistant", "x"), (1, 3, "assistant", "w"), (2, 0, "system", None), (2, 1, "tool", "t"), (2, 2, None, "?"), (2, 9, "assistant", None)]
+    spark.createDataFrame(odd, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(str(tmp_path / "odd"))
+    for path in (str(tmp_path / "odd"), f"{data}/conversations.parquet"):
+        c = duckdb.connect()
+        c.sql(f"create view conversations as select * from '{path}{'/*.parquet' if path.endswith('odd') else ''}'")
+        rel = c.sql(toolcalls.ORACLE_ALL)
+        out = toolcalls.link(*toolcalls.all_turns_as_calls(spark.read.parquet(path)), toolcalls.TURNS)
+        assert out.columns == rel.columns
+        rows = out.collect()
+        assert sorted(map(str, map(tuple, rows))) == sorted(map(str, rel.fetchall()))
+        n = c.sql("select count(*) from conversations").fetchall()[0][0]
+        assert sum(r["n_rows"] + r["n_results"] for r in rows) == n
+
+
 def test_long_chains_take_few_rounds(spark):
     rows = [(str(i), str(i - 1) if i else None, "t", "{}") for i in range(500)]
     got = {r["call_id"]: r["level"] for r in toolcalls.levels(spark.createDataFrame(rows, "call_id string, after string, name string, arguments string").select("call_id", "after")).collect()}
