@@ -7,8 +7,8 @@ page's pair. The longest common subsequence of the two line lists holds the line
 follows: lines of the article are never deleted, however shared, as the contract drops nothing of the article; boilerplate never stays;
 and where a page has an article, nothing outside it stays. So on pages without one, differencing alone decides the unmarked lines.
 
-A pair whose lines are all the same (a mirror) says nothing and is passed over for the other neighbour; a page alone on its host keeps
-its unmarked lines.
+A page whose lines are all the same (a mirror) says nothing: a page's neighbours are the nearest ones with other lines, however many
+mirrors lie between. A page with none on its host keeps its unmarked lines.
 
 Scale. Pages are ordered with only line hashes on board, by range partitioning on (host, path), so a host of any size is spread over
 tasks; partition edges are stitched from one row each. Text moves once, deflated, to meet its decisions.
@@ -27,7 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -221,12 +221,30 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     n = max(16, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = materialize(outlines.dropDuplicates(["key"]).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
     me = F.struct("host", "path", "lines")
-    # the last row before each partition and the first after it; one row per partition
-    edges = ranged.groupBy("part").agg(F.min_by(me, F.struct(*order)).alias("head"), F.max_by(me, F.struct(*order)).alias("tail"))
-    across = Window.orderBy("part")
-    edges = edges.select("part", F.lag("tail").over(across).alias("before"), F.lead("head").over(across).alias("after"))
-    inside = Window.partitionBy("part").orderBy(*order)
-    near = ranged.withColumns({"p": F.lag(me).over(inside), "n": F.lead(me).over(inside)}).join(F.broadcast(edges), "part")
+    same = lambda x, y: x["host"].eqNullSafe(y["host"]) & x["lines"].eqNullSafe(y["lines"])
+
+    def past_mirrors(*by) -> Column:
+        """The row before this row's run of equal lines, in a partition; null where the run begins it."""
+        w = Window.partitionBy("part").orderBy(*by)
+        last = F.lag(me).over(w)
+        begins = F.when(last.isNull() | ~same(last, me), F.struct(last.alias("x")))
+        return F.last(begins, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["x"]
+
+    ranged = ranged.withColumns({"p": past_mirrors(*order), "n": past_mirrors(*map(F.desc, order))})
+    # of each partition the first and the last row, and the row after the first's run and before the last's; one row per partition
+    at = F.struct(*order)
+    edges = ranged.groupBy("part").agg(F.min_by(me, at).alias("head"), F.max_by(me, at).alias("tail"), F.min_by("n", at).alias("head_n"), F.max_by("p", at).alias("tail_p"))
+
+    def beyond(first: str, inner: str, mine: str, *by) -> Column:
+        """The nearest other row in the partitions before: the last one's row, or what lies before its run where that goes on here."""
+        w = Window.orderBy(*by)
+        row = F.lag(first).over(w)
+        other = F.when(row.isNotNull() & ~same(row, F.col(mine)), row)
+        before_run = F.last(F.coalesce(inner, other), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(other, before_run)
+
+    edges = edges.select("part", beyond("tail", "tail_p", "head", "part").alias("before"), beyond("head", "head_n", "tail", F.desc("part")).alias("after"))
+    near = ranged.join(F.broadcast(edges), "part")
     near = near.withColumns({"p": F.coalesce("p", "before"), "n": F.coalesce("n", "after")})
     sides = [F.col(f"{a}.{c}").alias(f"{b}_{c}") for a, b in (("p", "prev"), ("n", "next")) for c in ("host", "path", "lines")]
     return near.select("key", "host", "path", "lines", *sides).mapInArrow(_decide, "key binary, shared array<boolean>")

@@ -155,3 +155,30 @@ def test_pages_with_and_without_articles(spark):
     assert texts == ["T & t one two three", "Body one", "Body two", "Body two", "Site name Body All rights kept", "", "", "ok"]
     assert all(n == len(t) for _, t, n in got)
     assert pages.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_pages_look_past_runs_of_mirrors(spark):
+    shell = "<div>Site name</div>{}<div>All rights kept</div>"
+    mirrors = [(i, f"http://h/m/{i:03}", shell.format("<p>Mirrored</p>"), None) for i in range(40)]
+    others = [(100, "http://h/z/1", shell.format("<p>Other</p>"), None), (101, "http://g/1", shell.format("<p>Alone</p>"), None), (102, "http://g/2", shell.format("<p>Alone</p>"), None)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(mirrors + others, PAGES)).collect()}
+    assert {got[i] for i in range(40)} == {"Mirrored"} and got[100] == "Other"
+    assert got[101] == got[102] == "Site name Alone All rights kept"
+
+
+def test_neighbours_against_a_plain_search(spark):
+    r = random.Random(6)
+    for _ in range(3):
+        rows = [(i, f"http://h{r.randint(0, 2)}/{r.choice('ab')}/{i:03}", "".join(f"<p>{r.choice('xy') * r.choice((1, 1, 1, 2))}</p>" for _ in range(r.choice((1, 1, 2)))), None) for i in range(120)]
+        seen = sorted((*pages.address(u), pages._key(i, u, h), [pages._line_hash(t) for _, t in pages.lines_of(h)]) for i, u, h, _ in rows)
+        want = {}
+        for k, (host, path, key, lines) in enumerate(seen):
+            best = None
+            for side in (seen[:k][::-1], seen[k + 1 :]):
+                other = next((x for x in side if x[0] == host and x[3] != lines), None)
+                near = other and len(pages.os.path.commonprefix([path, other[1]]))
+                if other and (best is None or near > best[0]):
+                    best = (near, other[3])
+            want[key] = pages.common_lines(lines, best[1]) if best else [False] * len(lines)
+        got = {bytes(x["key"]): x["shared"] for x in pages.shared_lines(spark.createDataFrame(rows, PAGES)).collect()}
+        assert got == want
