@@ -8,6 +8,7 @@ from ..model import LR_SQL, PK_SQL, event_packets, line_runs, table
 from ..operators import packets as P
 from ..operators import runs as R
 from ..operators import streams as S
+from ..operators.prefix import global_prefix_sum
 from . import virtual as V
 
 QUERIES, SQL = {}, {}
@@ -105,6 +106,19 @@ def seek_pts(spark, d):
     return points.join(found, ["track_id", "at"])
 
 
+@query("seek_pts_all", PK + f""", {KF}, t as (select track_id, min(pts) as lo, row_number() over (order by track_id) - 1 as i, count(*) over () as n from pk group by track_id),
+    pt as (select o_orderkey, t.track_id, lo + (o_orderkey * 7919) % 100000000000 as "at" from orders join t on t.i = o_custkey % t.n)
+    select o_orderkey, pt.track_id, "at", max(frame_no) as frame_no, max(pts) as pts, arg_max(key_frame, frame_no) as key_frame
+    from pt left join kf on kf.track_id = pt.track_id and kf.pts <= pt."at" group by o_orderkey, pt.track_id, "at" """)
+def seek_pts_all(spark, d):
+    packets = pk(spark, d)
+    low = global_prefix_sum(packets.groupBy("track_id").agg(F.min("pts").alias("lo")), ["track_id"], F.lit(1), "i")
+    points = table(spark, d, "orders").crossJoin(F.broadcast(low.agg(F.count("*").alias("n")))).where("n > 0").select("o_orderkey", (F.col("o_custkey") % F.col("n")).alias("i")).join(low, "i")
+    points = points.select("o_orderkey", "track_id", (F.col("lo") + (F.col("o_orderkey") * 7919) % 100000000000).alias("at"))
+    found = P.seek(packets, points.select("track_id", "at").distinct())
+    return points.join(found, ["track_id", "at"])
+
+
 @query("limit_frames", PK + "select track_id, frame_no, pts from pk where frame_no < 5")
 def limit_frames(spark, d):
     return P.limit_frames(pk(spark, d), 5).select("track_id", "frame_no", "pts")
@@ -248,6 +262,15 @@ def sync_flags(spark, d):
     return out.select("track_id", F.col("sample_no").alias("frame_no"), "key")
 
 
+@query("sync_flags_all", PK + """, s as (select distinct track_id from pk where key)
+    select track_id, frame_no, key or track_id not in (select track_id from s) as key from pk""")
+def sync_flags_all(spark, d):
+    packets = pk(spark, d)
+    sync = packets.where("key").select("track_id", (F.col("frame_no") + 1).alias("sample_no_1"))
+    out = R.sync_flags(packets.select("track_id", F.col("frame_no").alias("sample_no")), sync)
+    return out.select("track_id", F.col("sample_no").alias("frame_no"), "key")
+
+
 @query("duration_mode", PK + f""", v as (select track_id, frame_no, size // 10 as value from pk), c as (select *, row_number() over (partition by track_id, value order by frame_no) as c from v)
     select track_id, arg_max(value, (c, -frame_no)) as mode, max(c) as count from c group by track_id""")
 def duration_mode(spark, d):
