@@ -8,6 +8,7 @@ The forward state depends on the model. For a unigram model it is Viterbi's: the
 A pair-merge (BPE) model has no additive scores, and maximising their sum does not give its encoding; there the state is the
 last piece of the prefix's own encoding. A piece t ending at position j with the state at its start in piece s is right exactly if
 the merges of s + t give (s, t) back, and one candidate always is; pair answers are remembered. Either way ids equal the library's.
+Which lengths a last piece may have is looked up by the last ENDING characters, so that absent pieces are hardly ever asked for.
 
 Whole texts are encoded. Nulls and odd input: a null or empty text has no ids; characters that the vocabulary lacks become byte pieces
 (or the unknown piece where a model has none); repeated rows give equal ids; other columns are ignored; an empty table gives an empty
@@ -16,9 +17,9 @@ result. Decoding returns the text, but for U+2581, which the format itself canno
 
 from __future__ import annotations
 
-import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bounds of what a task remembers and of the text it handles at once.
 WORDS, PAIRS, SLICE = 300_000, 1_000_000, 4 << 20
+#: Characters of a prefix's end by which the lengths of possible last pieces are looked up.
+ENDING = 4
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, object]]:
@@ -98,7 +101,6 @@ class Model:
             elif kind == UNKNOWN:
                 self.unk = i
                 self.bytes_of[i] = b" \xe2\x81\x87 "
-        self.longest = max(map(len, self.ids))
         self.text = [""] * len(self.score)
         for p, i in self.ids.items():
             self.text[i] = p
@@ -106,13 +108,20 @@ class Model:
         lines = not any("\n" in p for p in self.ids)
         self.cut = None if crosses else re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+" if lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        self.endings: dict[str, tuple[int, ...]] = {}
+        long: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) >= ENDING:
+                long.setdefault(p[-ENDING:], set()).add(len(p))
+        self.long_endings = {k: tuple(sorted(v, reverse=True)) for k, v in long.items()}
         self.known: dict[str, bytes] = {}
         self.floor = min(self.score, default=0.0) - 10.0
 
-    def merge(self, word: str) -> list[str]:
-        """Pair merging of one short word as defined: the best-scored adjacent pair first, the leftmost of equals."""
+    def merge(self, word: str | list[str], stop: int = 1) -> list[str]:
+        """Pair merging of one short word as defined: the best-scored adjacent pair first, the leftmost of equals; down to stop parts."""
         s = list(word)
-        while True:
+        while len(s) > stop:
             best, at = None, -1
             for i in range(len(s) - 1):
                 k = self.ids.get(s[i] + s[i + 1])
@@ -121,6 +130,39 @@ class Model:
             if best is None:
                 return s
             s[at : at + 2] = [s[at] + s[at + 1]]
+        return s
+
+    def _parts(self, t: int) -> tuple[int, int] | None:
+        """The two pieces that a piece is last merged from; (t, t) for a single character; None unless every merge on the way comes earlier
+        in merge order than the one it serves."""
+        if t in self.parts:
+            return self.parts[t]
+        s, out = list(self.text[t]), (t, t)
+        if len(s) > 1:
+            halves = self.merge(s, 2)
+            a, b = map(self.ids.get, halves) if len(halves) == 2 else (None, None)
+            served = lambda x: x is not None and self._parts(x) is not None and (len(self.text[x]) == 1 or self.score[x] > self.score[t])
+            out = (a, b) if served(a) and served(b) else None
+        self.parts[t] = out
+        return out
+
+    def _stay(self, a: int, b: int) -> bool:
+        """Whether no merge crosses the border of two pieces while they form: the pieces at the border are taken apart from the last merge
+        back, and at each time their joint must not be a piece whose turn comes before the next merge (the left one of equals first)."""
+        ids, text, score, parts, never = self.ids, self.text, self.score, self.parts, float("-inf")
+        least, right = never, False  # score of the next merge at the border, and whether it is on the right side
+        while True:
+            joint = ids.get(text[a] + text[b])
+            if joint is not None and (score[joint] > least or right and score[joint] == least):
+                return False
+            x, y = parts[a], parts[b]
+            one, other = x[0] == a, y[0] == b
+            if one and other:
+                return True
+            if other or not one and score[a] < score[b]:
+                least, right, a = score[a], False, x[1]
+            else:
+                least, right, b = score[b], True, y[0]
 
     def _follows(self, a: int, b: int) -> bool:
         """Whether piece b after piece a stays as it is (negative: a character outside the vocabulary)."""
@@ -130,48 +172,86 @@ class Model:
         if out is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            x, y = self.text[a], self.text[b]
-            out = self.pairs[a, b] = self.merge(x + y) == [x, y]
+            if self._parts(a) and self._parts(b):
+                out = self._stay(a, b)
+            else:
+                x, y = self.text[a], self.text[b]
+                out = self.merge(x + y) == [x, y]
+            self.pairs[a, b] = out
+        return out
+
+    def lengths(self, end: str) -> tuple[int, ...]:
+        """Lengths of the pieces that may end a prefix whose last ENDING characters are end, longest first: a longer piece that ends so, or
+        a shorter one that ends it."""
+        out = self.endings.get(end)
+        if out is None:
+            if len(self.endings) >= PAIRS:
+                self.endings.clear()
+            short = [n for n in range(min(len(end), ENDING - 1), 1, -1) if end[-n:] in self.ids]
+            out = self.endings[end] = (*self.long_endings.get(end, ()), *short, 1)
         return out
 
     def encode_words(self, words: list[str]) -> None:
         """Add sorted distinct words to self.known, walking their trie depth first."""
-        ids, longest, bpe, follows = self.ids, self.longest, self.kind == BPE, self._follows
-        back: list[tuple[int, int]] = [(0, 0)]  # per prefix length: start and id of its last piece
+        ids, bpe, follows, score = self.ids, self.kind == BPE, self._follows, self.score
+        endings, lengths, pairs = self.endings, self.lengths, self.pairs
+        starts, last = [0], [0]  # per prefix length: start and id of its last piece
         best = [0.0]  # Viterbi scores
         prev = ""
         for w in words:
-            n = len(os.path.commonprefix((prev, w)))
-            del back[n + 1 :], best[n + 1 :]
-            for j in range(n + 1, len(w) + 1):
-                pick = None
-                for i in range(max(0, j - longest), j):
-                    t = ids.get(w[i:j])
-                    if t is None:
-                        if i < j - 1:
+            n, most = 0, min(len(prev), len(w))
+            while n < most and prev[n] == w[n]:
+                n += 1
+            del starts[n + 1 :], last[n + 1 :]
+            if bpe:
+                for j in range(n + 1, len(w) + 1):
+                    end = w[j - ENDING : j] if j > ENDING else w[:j]
+                    for k in endings.get(end) or lengths(end):
+                        i = j - k
+                        if i < 0:
                             continue
-                        t = -ord(w[i])
-                    if bpe:
-                        if i == 0 or follows(back[i][1], t):
-                            if i or self._whole(w[:j], t):
-                                pick = (i, t)
-                                break
+                        t = ids.get(w[i:j])
+                        if t is None:
+                            if k > 1:
+                                continue
+                            t = -ord(w[i])
+                        if i:
+                            good = pairs.get((last[i], t))
+                            if good is None:
+                                good = follows(last[i], t)
+                        else:
+                            good = self._whole(w[:j], t)
+                        if good:
+                            starts.append(i)
+                            last.append(t)
+                            break
                     else:
-                        s = best[i] + (self.score[t] if t >= 0 else self.floor)
+                        raise AssertionError(f"no last piece for {w[:j]!r}")
+            else:
+                del best[n + 1 :]
+                for j in range(n + 1, len(w) + 1):
+                    pick = None
+                    for k in lengths(w[max(0, j - ENDING) : j]):
+                        i = j - k
+                        if i < 0:
+                            continue
+                        t = ids.get(w[i:j])
+                        if t is None:
+                            if k > 1:
+                                continue
+                            t = -ord(w[i])
+                        s = best[i] + (score[t] if t >= 0 else self.floor)
                         if pick is None or s > pick[0]:
                             pick = (s, i, t)
-                if not bpe:
                     best.append(pick[0])
-                    pick = pick[1:]
-                elif pick is None:
-                    raise AssertionError(f"no last piece for {w[:j]!r}")
-                back.append(pick)
+                    starts.append(pick[1])
+                    last.append(pick[2])
             out, j = [], len(w)
             while j:
-                i, t = back[j]
-                out.append(t)
-                j = i
-            self.known[w] = np.array(self._final(out[::-1]), np.int32).tobytes()
+                out.append(last[j])
+                j = starts[j]
+            out.reverse()
+            self.known[w] = array("i", out if min(out) >= 0 else self._final(out)).tobytes()
             prev = w
 
     def _whole(self, word: str, t: int) -> bool:
