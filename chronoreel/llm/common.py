@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,25 +17,55 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests), and an error on a
+    cluster, whose machines would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='chronoreel-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    return f"{where.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: a plan cut that survives lost executors."""
+    """Write df as a table in the shared folder and read it back: a plan cut that survives lost executors. drop() deletes the table when
+    nothing reads it any more, clear() all tables of the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.chronoreel_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialized tables that no plan needs any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.chronoreel_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables this application has materialized; results not yet read need them."""
+    _delete(spark, shared_dir(spark))
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ A byte goes if a LENGTH-byte string over it also starts earlier (smaller doc_id,
 belongs to the least GRAM-byte hash inside it (the leftmost of equals), its anchor; windows in a row with one anchor are one run.
 Equal windows have equal anchors, so runs are dealt by anchor and each task sees all that may repeat in its runs.
 
-1. Each document's bytes give its runs. Runs that are the same string in one task are merged there (only the earliest travels).
+1. Rows are numbered in order of doc_id (nulls last; rows that share a doc_id in order of a hash of their text), and from here on a document is
+   its number. Each document's bytes give its runs. Runs that are the same string in one task are merged there (only the earliest travels).
 2. By anchor: runs whose anchor came once have no repeat. Equal runs are merged; where all runs of an anchor are one string there is
    nothing left to compare. The earliest of each distinct string of the other anchors fetches its bytes.
 3. Strings of an anchor meet in one task and are dealt into shards. Each shard's suffixes, read in symbols of SYMBOL bytes, are sorted
@@ -14,11 +15,13 @@ Equal windows have equal anchors, so runs are dealt by anchor and each task sees
    LENGTH-byte strings, of which all but the earliest start are marked.
 4. Marks are united per document, and the rest of the bytes hashed.
 
-Anchors with more than HOT distinct strings are cut into single windows dealt by their own hash, after merging equal ones in the task,
-so no anchor fills a task. Strings are told apart by two 64-bit hashes or by the transform over 64-bit symbol hashes.
+Anchors with more than HOT distinct strings are cut into single windows dealt by their own hash, after merging equal ones in the task. Their
+runs are sent on as soon as HOT is passed, so a task holds a bounded number of runs whatever share of them one anchor has. Strings are told apart
+by two 64-bit hashes or by the transform over 64-bit symbol hashes.
 
-Nulls and odd input: a null text is empty; a null doc_id counts as the largest; rows that share a doc_id share their marks (clipped to each text); empty
-and short texts lose nothing; other columns are ignored; an empty table gives an empty result.
+Nulls and odd input: a null text is empty; a null doc_id counts as larger than all others; rows that share a doc_id (or have none) are documents of
+their own, a repeat between them is removed from the later in number; empty and short texts lose nothing; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 LENGTH, GRAM, SYMBOL, SHARDS, HOT = 100, 32, 25, 4, 2000
 #: Bits of a position inside a segment; a segment's windows; runs merged and bytes compared at once.
 BITS, SEGMENT, RUNS_AT_ONCE, BYTES_AT_ONCE = 24, 1 << 23, 1 << 20, 1 << 20
-LAST = 2**63 - 1
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(99).integers(1, 2**63, 256).astype(U)
@@ -144,12 +146,13 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = _mix(h[pick] + at[pick].astype(U) * U(_BASE) + doc[pick].astype(U)) if mark else h[pick]
             yield _batch(MARK if mark else RUN, key, doc[pick], at[pick], n[pick], c[pick])
 
+    unpack = zstandard.ZstdDecompressor()
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            d = np.frombuffer((t.as_py() or "").encode(), np.uint8)
+        for i, t in zip(b.column("doc").to_pylist(), b.column("packed"), strict=True):
+            d = np.frombuffer(unpack.decompress(t.as_py()), np.uint8)
             if len(d) >= LENGTH:
                 found = runs_of(d, powers)
-                held.append((*found, np.full(len(found[0]), LAST if i is None else i, np.int64)))
+                held.append((*found, np.full(len(found[0]), i, np.int64)))
                 size += len(found[0])
                 if size >= RUNS_AT_ONCE:
                     yield from flush()
@@ -159,41 +162,50 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By anchor, in order of it: marks for later equal runs; of anchors with several strings the earliest run of each."""
-    rest = None
+    """By anchor, in order of it: marks for later equal runs; of anchors with several strings the earliest run of each, with c telling
+    whether the anchor is hot. Of the anchor that is being read, up to HOT strings (and a batch) are held."""
+    rest, hot = None, None
 
-    def settle(kind, key, doc, at, n, c):
+    def merged(key, doc, at, n, c):
+        """Marks for later equal runs, and the others in order."""
         order, later = _later_equals((key, c, n), doc, at)
-        key, doc, at, n, c = (x[order] for x in (key, doc, at, n, c))
+        cols = [x[order] for x in (key, doc, at, n, c)]
         if later.any():
-            yield _batch(MARK, key[later], doc[later], at[later], n[later], c[later])
+            yield _batch(MARK, *(x[later] for x in cols))
+        key, doc, at, n, c = cols
         head = np.concatenate([[True], (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])]) if len(key) else np.empty(0, bool)
-        key, doc, at, n, c = (x[head] for x in (key, doc, at, n, c))
+        return [x[head] for x in cols]
+
+    def settle(*cols):
+        key, doc, at, n, c = yield from merged(*cols)
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-        several = count[which] > 1
-        # c now tells whether the anchor is hot
+        wide = (count[which] > HOT) | (key == hot if hot is not None else False)
+        several = (count[which] > 1) | wide
         if several.any():
-            yield _batch(RUN, key[several], doc[several], at[several], n[several], (count[which][several] > HOT).astype(np.int64))
+            yield _batch(RUN, key[several], doc[several], at[several], n[several], wide[several].astype(np.int64))
 
     for b in batches:
         cols = [x.to_numpy() for x in b.columns]
         mark = cols[0] == MARK
         if mark.any():
             yield _batch(*(x[mark] for x in cols))
-        cols = [x[~mark] for x in cols]
+        cols = [x[~mark] for x in cols[1:]]
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if len(cols[0]):
             # all but the last anchor are complete
-            done = cols[1] != cols[1][-1]
+            last = cols[0][-1]
+            done = cols[0] != last
             yield from settle(*(x[done] for x in cols))
             rest = [x[~done] for x in cols]
-            if len(rest[0]) > RUNS_AT_ONCE:  # equal runs of one anchor are merged as they come
-                order, later = _later_equals((rest[1], rest[5], rest[4]), rest[2], rest[3])
-                rest = [x[order] for x in rest]
-                if later.any():
-                    yield _batch(MARK, *(x[later] for x in rest[1:]))
-                rest = [x[~later] for x in rest]
+            if hot != last:
+                hot = None
+            if len(rest[0]) > HOT:
+                rest = yield from merged(*rest)
+                if len(rest[0]) > HOT or hot is not None:  # what is left to come of this anchor goes the same way
+                    hot = last
+                    yield _batch(RUN, *rest[:4], 1)
+                    rest = [x[:0] for x in rest]
     if rest is not None and len(rest[0]):
         yield from settle(*rest)
 
@@ -201,8 +213,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        ids = [LAST if i is None else i for i in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.int64()), pa.array([pack.compress((t.as_py() or "").encode()) for t in b.column(1)], pa.binary())], ["doc_id", "doc", "packed"])
+        texts = [(t.as_py() or "").encode() for t in b.column(1)]
+        ties = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ties, pa.int64()), pa.array(list(map(pack.compress, texts)), pa.binary())], ["doc_id", "tie", "packed"])
+
+
+def numbered(docs: DataFrame, parts: int) -> DataFrame:
+    """documents -> doc_id, packed (deflated bytes) and doc, a number of its own for each row in order of doc_id."""
+    packed = materialize(docs.mapInArrow(_packed_texts, "doc_id long, tie long, packed binary"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    out = materialize(packed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "packed", F.monotonically_increasing_id().alias("doc")))
+    drop(packed)
+    return out
 
 
 def _spread(doc: int, at: int) -> int:
@@ -395,14 +417,29 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per input row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = docs.mapInArrow(_find_runs, RUNS).repartition(parts, "key").sortWithinPartitions("key")
+    packed = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts)
+    runs = packed.select("doc", "packed").mapInArrow(_find_runs, RUNS).repartition(parts, "key").sortWithinPartitions("key")
     met = materialize(runs.mapInArrow(_meet, RUNS))
-    packed = docs.mapInArrow(_packed_texts, "doc_id long, doc long, packed binary")
     wanted = met.where(F.col("kind") == RUN).groupBy("doc").agg(F.collect_list(F.struct("key", "at", "n", "c")).alias("wanted"))
     strings = packed.select("doc", "packed").join(wanted, "doc").select("doc", "packed", "wanted").mapInArrow(_strings, STRINGS)
     marks = materialize(strings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare, "doc long, at long, n long"))
     marks = marks.unionByName(met.where(F.col("kind") == MARK).select("doc", "at", "n"))
     by_doc = marks.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
     return packed.join(by_doc, "doc", "left").select("doc_id", "packed", "marks").mapInArrow(_results, OUT)
+
+
+#: The same rule by every window of the texts.
+ORACLE = r"""
+with d as (select row_number() over (order by doc_id nulls last, coalesce(text, '')) as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as materialized (select r, o, substr(h, 2 * o + 1, 2 * 611) as h from (select r, h, unnest(range(0, len(h) // 2 - 99, 512)) as o from d)),
+w as (select r, o, unnest(range(least(512, len(h) // 2 - 99))) as q, h from b),
+k as (select r, o + q as p, md5(substr(h, 2 * q + 1, 200)) as s from w),
+f as (select s, min((r, p)) as first from k group by s),
+m as (select r, p from k join f using (s) where (r, p) > first),
+e as (select r, p, max(p) over (partition by r order by p rows between unbounded preceding and 1 preceding) as before from m),
+g as (select r, p, sum(case when before is null or p > before + 100 then 1 else 0 end) over (partition by r order by p) as span from e),
+s as (select r, span, min(p) as a, max(p) + 100 as b from g group by r, span),
+c as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as from_, lead(a) over (partition by r order by a) as nxt from s),
+x as (select d.r, sum(b - a)::bigint as removed, count(*) as spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)) || case when nxt is null then substr(h, 2 * b + 1) else '' end, '' order by a) as kept from c join d on c.r = d.r group by d.r)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join x on d.r = x.r"""
