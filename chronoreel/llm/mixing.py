@@ -11,7 +11,8 @@ document that straddles the budget is taken if that comes nearer to it. So a sou
 (or by nothing it could avoid), and reruns agree.
 
 Scale. The budget's place in the order is found from per-cell word totals (4,096 cells of the key, then 4,096 in the one cell the
-budget falls into), so no task orders a whole source; only the rows of the last cell, about 1 in 16 million, are ranked together.
+budget falls into), so no task orders a whole source; only the rows of the last cell, about 1 in 16 million, are ranked together. The sample's
+size is thus fixed in words, which is what the targets are stated in, and not in documents.
 
 Nulls and odd input: a null text has size 0; documents of size 0 and sources of size 0 take 0; a null source is a source of its own,
 a null doc_id is hashed as "null"; equal rows are interchangeable; other columns are kept by mix() and ignored here; an empty table
@@ -23,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, running_totals, small, unit
+from .common import free_name, materialize, n_words, running_totals, small, unit
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 CELLS = 4096
+#: Tasks that rows without a doc_id of one source and size are dealt to.
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -94,11 +97,20 @@ def copies(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "mix") -> DataFrame:
-    """The mixed corpus: every document as often as copies() says, all columns kept. Rows that share a doc_id and a size share a decision."""
-    keys = copies(docs, weights, max_copies, seed).where("n_copies > 0").groupBy(F.col("doc_id").alias("__id"), F.coalesce("source", F.lit("")).alias("__source"), F.col("source").isNull().alias("__none"), F.col("size").alias("__size")).agg(F.max("n_copies").alias("__n"))
-    rows = docs.withColumns({"__size0": n_words(F.col("text"))})
-    joined = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size0") == F.col("__size")) & (F.coalesce("source", F.lit("")) == F.col("__source")) & (F.col("source").isNull() == F.col("__none")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    """The mixed corpus: every document as often as copies() says, all columns kept, whatever their names. Rows that share a doc_id, a source and
+    a size share a decision."""
+    own = {k: free_name(docs, k) for k in ("id", "src", "none", "size", "n", "copy", "salt", "own_size", "own_salt")}
+    source = lambda d: [F.coalesce(d["source"], F.lit("")), d["source"].isNull()]
+    # without a doc_id all rows would meet by source and size: the size's salt deals them out, and their decisions go to each salt
+    salts = F.when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    made = copies(docs, weights, max_copies, seed).where("n_copies > 0").withColumn(own["salt"], F.explode(salts))
+    keys = made.groupBy(F.col("doc_id").alias(own["id"]), source(made)[0].alias(own["src"]), source(made)[1].alias(own["none"]), F.col("size").alias(own["size"]), own["salt"]).agg(F.max("n_copies").alias(own["n"]))
+    salt = F.when(docs["doc_id"].isNull(), F.pmod(F.xxhash64(docs["text"]), F.lit(SALTS)).cast("int")).otherwise(0)
+    rows = docs.withColumns({own["own_size"]: n_words(docs["text"]), own["own_salt"]: salt})
+    same = rows["doc_id"].eqNullSafe(keys[own["id"]]) & (rows[own["own_size"]] == keys[own["size"]]) & (rows[own["own_salt"]] == keys[own["salt"]])
+    joined = rows.join(keys, same & (source(rows)[0] == keys[own["src"]]) & (source(rows)[1] == keys[own["none"]]))
+    out = joined.withColumn(own["copy"], F.explode(F.sequence(F.lit(1), F.col(own["n"]).cast("int"))))
+    return out.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
 
 
 def oracle_copies(docs: str = "documents", weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "mix") -> str:
