@@ -1,17 +1,20 @@
 """HTML extraction by nearest-URL page differencing.
 
-Each page becomes text lines, one per block, each with its place in the structure: inside an article (or main) element, inside a known
-boilerplate container (nav, header, footer, aside, forms, class or id names of adverts, notices, comments and the like) or neither.
-Pages of a host are ordered by URL path; of the two neighbours the one with the longer common path (the earlier of equals) is the
-page's pair. The longest common subsequence of the two line lists holds the lines they share, and these are deleted. An exact check
-follows: lines of the article are never deleted, however shared, as the contract drops nothing of the article; boilerplate never stays;
-and where a page has an article, nothing outside it stays. So on pages without one, differencing alone decides the unmarked lines.
+Each page becomes text lines, one per block. Pages of a host are ordered by URL path; of the two neighbours the one with the longer common path
+(the earlier of equals) is the page's pair. The longest common subsequence of the two line lists holds the lines they share, and these
+are deleted first: menus, footers, notices and whatever else a site repeats. A structural guard corrects the rest, as the contract asks for the whole
+article and nothing else: a deleted line inside an article (or main) element is restored (articles share license lines and passages),
+and a line that is not shared goes all the same if it lies in a known boilerplate container (nav, header, footer, aside, forms, class or id
+names of adverts, notices, comments and the like, whose text differs from page to page) or outside the article of a page that has one.
+n_shared, n_restored and n_guarded count the lines that differencing deleted for good, that were restored, and that only the guard deleted.
 
 A page whose lines are all the same (a mirror) says nothing: a page's neighbours are the nearest ones with other lines, however many
-mirrors lie between. A page with none on its host keeps its unmarked lines.
+mirrors lie between. A page with none on its host keeps its lines, but for the guard.
 
-Scale. Pages are ordered with only line hashes on board, by range partitioning on (host, path), so a host of any size is spread over
-tasks; partition edges are stitched from one row each. Text moves once, deflated, to meet its decisions.
+Scale. Pages are parsed once. They are ordered with only line hashes on board, by range partitioning on (host, path), so a host of any size is
+spread over tasks; partition edges are stitched from one row each. Text moves once, deflated, to meet its decisions. Parsing takes time in
+proportion to the page, whatever it holds: a tag whose quotes don't close ends at its first ">", and after PATIENCE page lengths of vain search quotes
+are ignored. The common subsequence takes memory for CELLS bits at most (beyond it the lists are halved).
 
 Nulls and odd input: a null or empty html gives empty text; a null url is a host of its own; rows alike in page_id, url and html share a
 decision; unclosed containers hold nothing; other columns are ignored; an empty table gives an empty result.
@@ -26,13 +29,17 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+#: Page lengths of search for closing quotes that may be in vain; bits held for a common subsequence.
+PATIENCE, CELLS = 8, 1 << 27
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 RAW = {"script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed", "noframes", "template"}
 #: Elements that never hold main text.
@@ -59,21 +66,57 @@ def _is_marked(attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[int, str]]:
-    """(place, text) of every line that has text, in page order; character references decoded, white space made single spaces."""
-    tokens, at = [], 0  # (start, end, opening, name, attributes); raw elements come as one token without a name
-    while m := TOKEN.search(page, at):
-        at = m.end()
-        name = (m[2] or "").lower()
-        if name in RAW and not m[1]:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+def tokens_of(page: str) -> list[tuple[int, int, bool | None, str, str]]:
+    """(start, end, opening, name, attributes) of all markup; opening is None for comments and raw elements, which come as one token."""
+    tokens, at, vain, endless = [], 0, 0, set()
+
+    def find(what: str, start: int) -> int:
+        """Where what ends, or -1; a search that fails once is not made again."""
+        k = -1 if what in endless else page.find(what, start)
+        if k < 0:
+            endless.add(what)
+            return -1
+        return k + len(what)
+
+    while m := MARKUP.search(page, at):
+        start, at, name = m.start(), m.end(), ""
+        if m[1]:
+            at = find("-->", at)
+            tokens.append((start, at if at >= 0 else len(page), None, "", ""))
+            if at < 0:
+                break
+            continue
+        if m[2] and (end := find("]]>", at)) >= 0:
+            tokens.append((start, end, None, "", ""))
+            at = end
+            continue
+        if m[5]:
+            end = ATTRIBUTES.match(page, at).end() if vain <= PATIENCE * len(page) else at
+            if page[end : end + 1] == ">":
+                name, attributes, at = m[5].lower(), page[at:end], end + 1
+            else:
+                vain += end - at
+        if not name:  # a declaration, or a tag whose quotes don't close
+            end = find(">", at)
+            if end < 0:
+                break  # no markup can follow
+            name, attributes, at = (m[5] or "").lower(), page[at : end - 1] if m[5] else "", end
+        if name in RAW and not m[4]:
+            close = None if name in endless else re.compile(rf"</{name}\s*+>", re.I).search(page, at)
             if close:
                 at = close.end()
-            elif name in ("script", "style"):
-                at = len(page)
-            tokens.append((m.start(), at, None, "", ""))
-        else:
-            tokens.append((m.start(), m.end(), None if not name else not m[1], name, m[3] or ""))
+            else:
+                endless.add(name)
+                if name in ("script", "style"):
+                    at = len(page)
+            name = ""
+        tokens.append((start, at, None if not name else not m[4], name, attributes))
+    return tokens
+
+
+def lines_of(page: str) -> list[tuple[int, str]]:
+    """(place, text) of every line that has text, in page order; character references decoded, white space made single spaces."""
+    tokens = tokens_of(page)
     # Where each container that matters closes: unclosed ones hold nothing, unclosed articles the rest.
     closes, waiting = {}, {}
     for k, (_, _, opening, name, _) in enumerate(tokens):
@@ -122,8 +165,30 @@ def address(url: str | None) -> tuple[str, str]:
     return (m[1].rpartition("@")[2].lower(), m[2]) if m else ("", url or "")
 
 
-def common_lines(a: list, b: list) -> list[bool]:
-    """Which items of a lie in one longest common subsequence of a and b (bit-parallel, with the rows kept for tracing back)."""
+def _rows(x: list, y: list) -> Iterator[int]:
+    """For each prefix of x, bits over y whose zeros among the low j count the longest common subsequence with the first j of y."""
+    where: dict = {}
+    for j, v in enumerate(y):
+        where[v] = where.get(v, 0) | 1 << j
+    row = full = (1 << len(y)) - 1
+    for v in x:
+        hit = row & where.get(v, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _lengths(x: list, y: list) -> np.ndarray:
+    """Length of the longest common subsequence of x and the first j of y, for each j."""
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list, b: list, cells: int = CELLS) -> list[bool]:
+    """Which items of a lie in one longest common subsequence of a and b. Bit-parallel, with the rows kept for tracing back where they
+    have cells bits at most; otherwise a is halved and b cut where the halves' lengths add up to most."""
     used = [False] * len(a)
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
@@ -134,15 +199,13 @@ def common_lines(a: list, b: list) -> list[bool]:
         used[-1 - hi] = True
         hi += 1
     x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    where: dict = {}
-    for j, v in enumerate(y):
-        where[v] = where.get(v, 0) | 1 << j
-    rows, row, full = [], (1 << len(y)) - 1, (1 << len(y)) - 1
-    for v in x:
-        hit = row & where.get(v, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    j = len(y)
+    if len(x) * len(y) > cells and len(x) > 1:
+        half = len(x) // 2
+        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        used[lo : len(a) - hi] = common_lines(x[:half], y[:cut], cells) + common_lines(x[half:], y[cut:], cells)
+        return used
+    rows = list(_rows(x, y))
+    j, full = len(y), (1 << len(y)) - 1
     for i in range(len(x) - 1, -1, -1):
         # zeros among the low j bits count the subsequence's length; drop columns that add nothing, then see whether row i is needed
         while j and rows[i] >> (j - 1) & 1:
@@ -164,11 +227,23 @@ def _line_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PARSED = "key binary, page_id long, url string, host string, path string, lines array<long>, packed binary"
+PLACES = "-?="
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line hashes of each page, and deflated its lines' places and the text of those that may stay."""
+    kinds = (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary())
     for b in batches:
-        rows = [(_key(i, u, h), *address(u), [_line_hash(t) for _, t in lines_of(h or "")]) for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64())), strict=True)], ["key", "host", "path", "lines"])
+        rows = []
+        for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            lines = lines_of(h or "")
+            article = any(p == KEEP for p, _ in lines)
+            held = [t for p, t in lines if p == KEEP or p == OPEN and not article]
+            packed = zlib.compress("\n".join(["".join(PLACES[p + 1] for p, _ in lines), *held]).encode(), 3)
+            rows.append((_key(i, u, h), i, u, *address(u), [_line_hash(t) for _, t in lines], packed))
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "page_id", "url", "host", "path", "lines", "packed"])
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,40 +260,42 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.bool_()))], ["key", "shared"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            lines = lines_of(h or "")
-            article = any(p == KEEP for p, _ in lines)
-            # an undecided line goes with "?" and its number, a decided one as it is; lines that cannot stay do not travel
-            held = [f"={t}" if p == KEEP else f"?{k} {t}" for k, (p, t) in enumerate(lines) if p == KEEP or p == OPEN and not article]
-            rows.append((_key(i, u, h), i, u, zlib.compress("\n".join(held).encode(), 3)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["key", "page_id", "url", "packed"])
+RESULT = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_restored long, n_guarded long"
 
 
 def _join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = []
+        rows = []
         for packed, shared in zip(b.column("packed").to_pylist(), b.column("shared").to_pylist(), strict=True):
-            kept = []
-            for line in zlib.decompress(packed).decode().split("\n"):
-                if line[:1] == "=":
-                    kept.append(line[1:])
-                elif line:
-                    k, _, t = line[1:].partition(" ")
-                    if not (shared and shared[int(k)]):
-                        kept.append(t)
-            texts.append(" ".join(kept))
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-
-def shared_lines(pages: DataFrame) -> DataFrame:
-    """pages -> key (of page_id, url, html), shared: for each line whether the nearest page of the host shares it."""
-    outlines = pages.select("page_id", "url", "html").mapInArrow(_outlines, "key binary, host string, path string, lines array<long>")
+            places, *held = zlib.decompress(packed).decode().split("\n")
+            article, texts, kept, n = "=" in places, iter(held), [], [len(places), 0, 0, 0]
+            for place, gone in zip(places, shared or [False] * len(places), strict=True):
+                text = next(texts) if place == "=" or place == "?" and not article else None
+                if gone and place == "=":
+                    n[2] += 1
+                elif gone:
+                    n[1] += 1
+                    continue
+                elif text is None:
+                    n[3] += 1
+                    continue
+                kept.append(text)
+            text = " ".join(kept)
+            rows.append((text, len(text), *n))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        arrays = [pa.array(c, t) for c, t in zip(cols, (pa.string(), *(pa.int64(),) * 5), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *arrays], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_restored", "n_guarded"])
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    return materialize(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parsed, PARSED))
+
+
+def shared_lines(parsed: DataFrame) -> DataFrame:
+    """parsed_pages() -> key (of page_id, url, html), shared: for each line whether the nearest page of the host shares it."""
+    outlines = parsed.select("key", "host", "path", "lines")
     order = ["host", "path", "key"]
-    n = max(16, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(16, int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = materialize(outlines.dropDuplicates(["key"]).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
     me = F.struct("host", "path", "lines")
     same = lambda x, y: x["host"].eqNullSafe(y["host"]) & x["lines"].eqNullSafe(y["lines"])
@@ -251,6 +328,6 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages -> page_id, url, text, n_chars; one row per page."""
-    packed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_packed, "key binary, page_id long, url string, packed binary")
-    return packed.join(shared_lines(pages.withColumn("page_id", F.col("page_id").cast("long"))), "key", "left").select("page_id", "url", "packed", "shared").mapInArrow(_join_lines, "page_id long, url string, text string, n_chars long")
+    """pages -> page_id, url, text, n_chars and line counts; one row per page."""
+    parsed = parsed_pages(pages)
+    return parsed.select("key", "page_id", "url", "packed").join(shared_lines(parsed), "key", "left").select("page_id", "url", "packed", "shared").mapInArrow(_join_lines, RESULT)
