@@ -79,6 +79,32 @@ def test_near_duplicates_against_all_pairs(spark):
     assert minhash.dedup(df).count() == len(set(want.values())) and minhash.dedup(df).columns == df.columns
 
 
+def test_near_duplicates_agree_with_sql(spark, data, tmp_path):
+    c = duckdb.connect()
+    odd = [(1, "One two three four five six"), (1, "ten nine eight seven six five four"), (7, "TEN nine eight seven six five four"), (3, "one  two three four five six"), (9, None), (None, "x y"), (None, None), (8, "x y"), (8, "x y"), (2, ""), (5, "\u0130 x"), (4, "x\x0by")]
+    spark.createDataFrame(odd, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "odd"))
+    for path in (str(tmp_path / "odd"), f"{data}/documents.parquet"):
+        c.sql(f"create or replace view documents as select * from '{path}{'/*.parquet' if path.endswith('odd') else ''}'")
+        rel = c.sql(minhash.ORACLE)
+        got = [tuple(r) for r in minhash.near_duplicates(spark.read.parquet(path)).select(*rel.columns).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, rel.fetchall()))
+
+
+def test_outsiders_link_through_mixed_buckets(spark):
+    """Chains of near copies that start far from their bucket's head."""
+    r = random.Random(11)
+    rows, n = [], 0
+    for _ in range(12):
+        t = [f"w{r.randint(0, 5000)}" for _ in range(60)]
+        for _ in range(25):
+            rows.append((n, " ".join(t)))
+            n += 1
+            t = list(t)
+            t[r.randrange(60)] = f"w{r.randint(0, 5000)}"
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)[0]
+
+
 def test_near_duplicates_odd_input(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "A B C D E F")], "doc_id long, text string")
     got = sorted((str(x["doc_id"]), x["component_id"], x["kept"]) for x in minhash.near_duplicates(df).collect())
@@ -116,6 +142,48 @@ def brute_repeats(rows):
     return out
 
 
+def test_long_repeats_agree_with_sql(spark, data, tmp_path):
+    c = duckdb.connect()
+    r = random.Random(4)
+    noise = "".join(r.choice("abcdefgh") for _ in range(300))
+    odd = [(4, "m" * 220), (4, noise), (None, "k" * 150), (None, noise), (None, None), (9, ""), (2, noise[:150] + "\u00e9" * 80), (2, noise[:150] + "\u00e9" * 80)]
+    spark.createDataFrame(odd, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "odd"))
+    for path in (f"{data}/documents.parquet", str(tmp_path / "odd")):
+        c.sql(f"create or replace view documents as select * from '{path}{'/*.parquet' if path.endswith('odd') else ''}'")
+        rel = c.sql(suffixes.ORACLE)
+        got = [tuple(r) for r in suffixes.repeats(spark.read.parquet(path)).select(*rel.columns).collect()]
+        want = rel.fetchall()
+        if path.endswith("odd"):  # rows of one doc_id: which of them is the earlier one is not said
+            got, want = ([(i, n) for i, n, _, _, _ in x] for x in (got, want))
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_rows_of_one_doc_id_lose_only_what_repeats(spark):
+    r = random.Random(5)
+    noise = "".join(r.choice("abcdefgh") for _ in range(300))
+    for i in (4, None):
+        got = {x["n_bytes"]: x["n_removed"] for x in suffixes.repeats(spark.createDataFrame([(i, "m" * 220), (i, noise)], "doc_id long, text string")).collect()}
+        assert got == {220: 219, 300: 0}
+
+
+def test_an_anchor_of_many_strings_is_met_in_bounded_memory():
+    import tracemalloc
+
+    n, step = 200_000, 10_000
+    every = [(np.full(step, suffixes.RUN), np.full(step, 7), np.arange(at, at + step), np.zeros(step, int), np.full(step, 3), np.arange(at, at + step) // 2) for at in range(0, n, step)]
+    every.append((np.array([suffixes.RUN] * 2), np.array([8, 8]), np.array([1, 2]), np.array([0, 0]), np.array([3, 3]), np.array([5, 6])))
+    tracemalloc.start()
+    base, runs, marks, last = tracemalloc.get_traced_memory()[0], 0, 0, []
+    for b in suffixes._meet(suffixes._batch(*x) for x in every):
+        kind, key, c = (b.column(k).to_numpy() for k in ("kind", "key", "c"))
+        runs += int(((kind == suffixes.RUN) & (key == 7) & (c == 1)).sum())
+        marks += int((kind == suffixes.MARK).sum())
+        last += c[key == 8].tolist()
+    peak = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    assert runs + marks == n and marks >= n // 2 - n // step and last == [0, 0] and peak < 12_000_000
+
+
 def test_long_repeats_against_brute_force(spark, monkeypatch):
     r = random.Random(9)
     text = lambda n: "".join(r.choice("abcdé ") for _ in range(n))

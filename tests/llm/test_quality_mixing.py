@@ -98,3 +98,56 @@ def test_assess_agrees_with_sql(spark, data):
     got = [tuple(r) for r in quality.assess(docs).select(*rel.columns).collect()]
     assert sorted(got) == sorted(rel.fetchall())
     assert docs.select(F.count("*")).first()[0] == len(got)
+
+
+def test_estimate_agrees_with_a_plain_search(spark):
+    """Many random starts in numpy, each led to its end, and the least determinant of all."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    p, n = quality.P, 600
+    shape = r.normal(0, 1, (p, p)) * 900 + np.eye(p) * 2500
+    x = r.normal(0, 1, (n, p)) @ shape + 20000
+    x[:110] = x[:110] * 0.2 + r.normal(0, 300, (110, p)) + 45000  # a tight crowd of outliers
+    x = np.floor(x).astype(int)
+    rows = [("o", "l", *map(int, v)) for v in x]
+    names = [f"x{i}" for i in range(p)]
+    est = quality.estimates(spark.createDataFrame(rows, "own string, of_lang string, " + ", ".join(f"{c} long" for c in names))).collect()
+    assert len(est) == 1
+    center = np.array([est[0][f"m{i}"] for i in range(p)])
+    k = np.array([[est[0][f"k{i}_{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])
+    h, best = -(-3 * n // 4), (np.inf, None)
+    for _ in range(200):
+        pick = r.choice(n, p + 1, replace=False)
+        for _ in range(60):
+            m, c = x[pick].mean(0), np.cov(x[pick].T, bias=True) + 1e-6 * np.eye(p)
+            new = np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), kind="stable")[:h]
+            if set(new) == set(pick):
+                break
+            pick = new
+        if np.linalg.slogdet(c)[1] < best[0]:
+            best = (np.linalg.slogdet(c)[1], pick)
+    m, c = x[best[1]].mean(0), np.cov(x[best[1]].T, bias=True) * quality.CONSISTENCY + np.diag(np.square(quality.FLOOR))
+    want = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    got = np.square((x - center) @ k.T).sum(1)
+    assert np.abs(center - m).max() < 0.05 * np.sqrt(np.diag(c)).min()
+    assert np.allclose(got, want, rtol=0.06) and (got[:110] > quality.CUTOFF).all() and (got[110:] < quality.CUTOFF).all()
+
+
+def test_small_groups_are_judged(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 997}" for k in range(60 + i % 50)), "en", f"s{i % 40}", 0) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"#{k}$|" for k in range(i * 50, i * 50 + 50)), "xx" if i else None, "alone", 0) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in quality.assess(df).collect()}
+    assert not got[1000]["kept"] and not got[1001]["kept"] and all(got[i]["kept"] and got[i]["distance2"] is not None for i in range(300))
+
+
+def test_clashing_names_stay(spark):
+    text = "one two three four five six seven eight nine ten"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, `__row` long, id int, copy int, n int, `a b` string, own string, kept int, rid int"
+    df = spark.createDataFrame([(i, text + f" {i}", "en", "s", 60, 7, 7, 8, 9, 10, "x", "o", 3, 4) for i in range(20)] + [(None, text, None, None, None, 7, 7, 8, 9, 10, "x", "o", 3, 4)] * 2, schema)
+    for out in (quality.apply_rules(df), mixing.mix(df)):
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and {(r["row"], r["__row"], r["id"], r["copy"], r["n"], r["a b"], r["own"], r["kept"], r["rid"]) for r in rows} == {(7, 7, 8, 9, 10, "x", "o", 3, 4)}
+    assert quality.apply_rules(df).count() == 22 and mixing.mix(df).count() == mixing.copies(df).agg(F.sum("n_copies")).first()[0]

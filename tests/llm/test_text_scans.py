@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,53 @@ def test_random_tokens_are_told_from_words():
     assert not secrets.random_spans("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 abcabcabcabcabcabcabcabcabcabc1", [])
 
 
+def test_ordinary_tokens_are_left_alone():
+    names = ["internationalization2024", "Chapter12TheReturnOfTheKing", "getElementsByTagNameNS", "erschlichchstscher", "9807915762804490", "2024/05/17/some-title-of-a-page", "SPARK_SQL_ADAPTIVE_ENABLED", "user_id_12345_session_67890", "a" * 40]
+    assert not [t for t in names if secrets.random_spans(t, [])]
+    r = random.Random(8)
+    base36 = "abcdefghijklmnopqrstuvwxyz0123456789"
+    assert sum(bool(secrets.random_spans("".join(r.choice(base36) for _ in range(40)), [])) for _ in range(200)) >= 160
+    counts = next(secrets._scan(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["key = 04dbebab91ab85687d33eeaaf9ac699e1188f962"])], ["doc_id", "text"])])))
+    assert [counts.column(c)[0].as_py() for c in ("n_hex", "n_random", "n_tested", "n_judged")] == [1, 0, 1, 1]
+
+
+def test_battery_against_plain_sums():
+    from fractions import Fraction
+    from math import comb, exp, lgamma
+
+    for n, x, p in ((5, 2, Fraction(1, 2)), (30, 9, Fraction(3, 20)), (400, 250, Fraction(1, 2)), (7, 0, Fraction(1, 2)), (7, 7, Fraction(3, 20))):
+        want = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x, n + 1))
+        assert abs(secrets.binomial_upper(x, n, float(p)) - float(want)) < 1e-9
+    assert abs(secrets.binomial_upper(1050, 2001, 0.5) - sum(exp(lgamma(2002) - lgamma(k + 1) - lgamma(2002 - k) - 2001 * 0.6931471805599453) for k in range(1050, 2002))) < 1e-3
+    # equal pairs among digits: mean and variance from every word of three digits
+    share = [d / sum(secrets.DIGITS) for d in secrets.DIGITS]
+    words = [(share[a] * share[b] * share[c], (a == b) + (a == c) + (b == c)) for a in range(10) for b in range(10) for c in range(10)]
+    mean = sum(p * k for p, k in words)
+    _, squares, cubes = secrets.CLASSES["0123456789abcdef"][1]
+    assert abs(mean - 3 * squares) < 1e-12 and abs(sum(p * (k - mean) ** 2 for p, k in words) - (3 * squares * (1 - squares) + 6 * (cubes - squares**2))) < 1e-12
+    # Fisher's sum of three against integrating the product of uniform numbers
+    r = random.Random(6)
+    draws = [r.random() * r.random() * r.random() for _ in range(40000)]
+    bare = "Zk3Qw9Lp2Xv7Tn4B"
+    product = secrets.uniformity_p(bare, secrets.encoding(bare)[1]) * secrets.runs_p(bare) * secrets.serial_p(bare)
+    assert abs(secrets.ordinary_p(bare) - sum(d <= product for d in draws) / len(draws)) < 0.01
+
+
+def test_rejection_against_every_cut():
+    r = random.Random(12)
+    for _ in range(300):
+        m = r.randint(1, 12)
+        p, n = [r.random() ** r.choice((1, 6)) for _ in range(m)], [r.randint(16, 80) for _ in range(m)]
+        q = [x / (k * m / sum(n)) for x, k in zip(p, n, strict=True)]
+        best = set()
+        for t in q:  # every rejection region that keeps the estimated false share under the level
+            inside = {i for i in range(m) if q[i] <= t}
+            if t * m / len(inside) <= 0.05 and len(inside) > len(best):
+                best = inside
+        assert {i for i, x in enumerate(secrets.rejected(p, n, 0.05)) if x} == best
+    assert secrets.rejected([], []) == []
+
+
 def test_mixed_and_partly_covered_tokens_reach_the_battery():
     r = random.Random(5)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -110,6 +158,64 @@ def test_classifier_learns(spark, data):
     assert (out["predicted"] == out["quality"]).mean() > max(0.93, out["quality"].mean())
 
 
+def small_net(seed=3):
+    import numpy as np
+
+    net, r = bytecnn.Net(seed), np.random.default_rng(seed)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["v"], net.p["b"], net.p["c"] = r.normal(0, 1, 2 * bytecnn.FILTERS), r.normal(0, 0.1, bytecnn.FILTERS), np.array([0.2])
+    return net, r
+
+
+def test_classifier_responses_are_a_convolution():
+    import numpy as np
+
+    net, r = small_net()
+    chunks = r.integers(0, 256, (300, bytecnn.CHUNK)).astype(np.uint8)
+    kernel = net.p["w"].reshape(bytecnn.WIDTH, bytecnn.EMBED, bytecnn.FILTERS)
+    want = np.full((300, bytecnn.FILTERS), -np.inf)
+    for at in range(0, bytecnn.CHUNK - bytecnn.WIDTH + 1, bytecnn.STRIDE):
+        want = np.maximum(want, sum(net.p["e"][chunks[:, at + j]] @ kernel[j] for j in range(bytecnn.WIDTH)))
+    assert np.allclose(net.responses(chunks), np.maximum(want + net.p["b"], 0), atol=1e-4)
+    value, top = net.strongest(chunks)
+    assert np.allclose(value, want, atol=1e-4) and (top < bytecnn.POSITIONS).all()
+
+
+def test_classifier_gradients_are_finite_differences():
+    import numpy as np
+
+    net, r = small_net()
+    docs = [bytecnn.chunk_bytes(bytes(r.integers(97, 123, n).astype(np.uint8))) for n in (0, 40, 700, 5000)]
+    y = np.array([0.0, 1.0, 1.0, 0.0])
+    g, loss = net.gradients(docs, y)
+    scores = np.array([net.score(net.responses(d), np.zeros(1, int))[0] for d in docs])
+    assert abs(loss + np.mean(np.log(np.where(y > 0.5, scores, 1 - scores)))) < 1e-4
+    for k in net.p:
+        flat, at = net.p[k].reshape(-1), np.argsort(-np.abs(g[k].reshape(-1)))[:12]
+        for i in at:
+            old, step = flat[i], 1e-6
+            ends = []
+            for d in (step, -step):
+                flat[i] = old + d
+                ends.append(net.gradients(docs, y)[1])
+            flat[i] = old
+            want = (ends[0] - ends[1]) / (2 * step)
+            assert abs(want - g[k].reshape(-1)[i]) < 0.02 * max(abs(want), 0.02), (k, i, want)
+
+
+def test_training_reads_whole_texts_of_bounded_rows(spark):
+    import zlib
+
+    long = "early words " * 30000 + "the end"
+    docs = spark.createDataFrame([(i, long if i == 2 else f"text {i}", 0) for i in range(60) for _ in range(2)], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(2, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    every = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = bytecnn.training_rows(docs, labels)
+    assert [i for i, _, _ in got] == every and [q for _, q, _ in got] == [i % 2 for i in every]
+    assert {i: zlib.decompress(t).decode() for i, _, t in got} == {i: long if i == 2 else f"text {i}" for i in every}
+    assert len(bytecnn.training_rows(docs, labels, 7)) == 7
+
+
 def test_classifier_covers_whole_texts_and_odd_input(spark):
     for n in (0, 1, 127, 128, 129, 240, 241, 5000):
         data = bytes(i % 250 + 1 for i in range(n))
@@ -134,9 +240,52 @@ def test_common_lines_is_a_longest_common_subsequence():
         for i in range(len(a)):
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
-        sub = [x for x, k in zip(a, pages.common_lines(a, b), strict=True) if k]
-        rest = iter(b)
-        assert len(sub) == t[-1][-1] and all(x in rest for x in sub)
+        for cells in (pages.CELLS, 0, 12):
+            sub = [x for x, k in zip(a, pages.common_lines(a, b, cells), strict=True) if k]
+            rest = iter(b)
+            assert len(sub) == t[-1][-1] and all(x in rest for x in sub)
+
+
+def test_long_line_lists_are_halved():
+    r = random.Random(3)
+    a, b = ([r.randint(0, 3000) for _ in range(6000)] for _ in range(2))
+    assert sum(pages.common_lines(a, b)) == sum(pages.common_lines(a, b, 1 << 20)) == pages._lengths(a, b)[-1]
+
+
+def test_odd_markup_takes_time_in_proportion():
+    import time
+
+    for odd in ("<a ", "<a '", '<a "', "<a \"'>", "<![CDATA[", "<noscript>", "<title>", "<!--", "<!", "<p", "</p", "<a x='\">"):
+        page = "<article>" + odd * (1_000_000 // len(odd)) + "</article>"
+        began = time.time()
+        pages.lines_of(page)
+        assert time.time() - began < 20, odd
+        assert pages.lines_of(f"<p>ok</p>{odd}")[0] == (pages.OPEN, "ok")
+    assert pages.lines_of("<p title=don't>one</p><p>two</p>") == [(pages.OPEN, "one"), (pages.OPEN, "two")]
+
+
+def test_extract_against_a_plain_rule(spark, data):
+    """Deleting what the nearest page shares, then the guard, over real pages and their articles as plain strings."""
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
+    parsed = {(i, u): pages.lines_of(h) for i, u, h in rows}
+    seen = sorted((*pages.address(u), pages._key(i, u, h), [t for _, t in parsed[i, u]], i, u) for i, u, h in rows)
+    want = {}
+    for k, (host, path, _, lines, i, u) in enumerate(seen):
+        best = None
+        for side in (seen[:k][::-1], seen[k + 1 :]):
+            other = next((x for x in side if x[0] == host and x[3] != lines), None)
+            near = other and len(pages.os.path.commonprefix([path, other[1]]))
+            if other and (best is None or near > best[0]):
+                best = (near, other[3])
+        shared = pages.common_lines(lines, best[1]) if best else [False] * len(lines)
+        places = [p for p, _ in parsed[i, u]]
+        article = pages.KEEP in places
+        stays = [p == pages.KEEP or not s and p == pages.OPEN and not article for p, s in zip(places, shared, strict=True)]
+        deleted = sum(s and p != pages.KEEP for p, s in zip(places, shared, strict=True))
+        want[i, u] = (" ".join(t for t, s in zip(lines, stays, strict=True) if s), deleted, sum(s and p == pages.KEEP for p, s in zip(places, shared, strict=True)), len(lines) - sum(stays) - deleted)
+    got = {(r["page_id"], r["url"]): (r["text"], r["n_shared"], r["n_restored"], r["n_guarded"]) for r in pages.extract(spark.read.parquet(f"{data}/pages.parquet")).collect()}
+    assert got == want
+    assert any(n for _, n, _, _ in got.values()) and any(n for _, _, n, _ in got.values())
 
 
 PAGES = "page_id long, url string, html string, text string"
@@ -180,5 +329,5 @@ def test_neighbours_against_a_plain_search(spark):
                 if other and (best is None or near > best[0]):
                     best = (near, other[3])
             want[key] = pages.common_lines(lines, best[1]) if best else [False] * len(lines)
-        got = {bytes(x["key"]): x["shared"] for x in pages.shared_lines(spark.createDataFrame(rows, PAGES)).collect()}
+        got = {bytes(x["key"]): x["shared"] for x in pages.shared_lines(pages.parsed_pages(spark.createDataFrame(rows, PAGES))).collect()}
         assert got == want
