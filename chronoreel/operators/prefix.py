@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a temporary folder is set only where that is unset (tests)."""
+    """A reliable checkpoint in spark.checkpoint.dir. Where that is unset, a temporary folder in local mode (tests), and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronoreel-"))
     return df.checkpoint()
 
@@ -19,7 +22,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def global_prefix_sum(df: DataFrame, order: list[Column | str], value: Column, name: str, first: int = 0) -> DataFrame:
     """Add name: first plus the sum of value over all rows before, in the order of order (which must be a unique key).
 
-    Range partitions are numbered; their sums, one row each, are added up; each partition adds what lies before it.
+    Range partitions are numbered; their sums, one row each, are added up; each partition adds what lies before it. The numbering is a
+    checkpoint, so calling this runs a job that writes the table's rows to the checkpoint folder.
     """
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = cut_lineage(df.withColumn("__v", value).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))

@@ -43,23 +43,29 @@ def fill_missing(packets: DataFrame) -> DataFrame:
 
 
 def gop_pts(packets: DataFrame) -> DataFrame:
-    """Missing pts (null) of a group (track_id, gop) from two known neighbours in temporal_ref order, in alternating passes: forward, backward, forward."""
+    """Missing pts (null) of a group (track_id, gop): in temporal_ref order, then backwards, then forwards again, a missing one becomes the last
+    known pts plus the step between the last two known ones over the distance of their temporal references (whole, towards zero).
 
-    def run(pdf):
-        pdf = pdf.sort_values("temporal_ref").reset_index(drop=True)
-        pts = [None if x is None or x != x else int(x) for x in pdf["pts"]]
-        for forward in (True, False, True):
-            order = range(2, len(pts)) if forward else range(len(pts) - 3, -1, -1)
-            s = -1 if forward else 1
-            for i in order:
-                if pts[i] is None and pts[i + s] is not None and pts[i + 2 * s] is not None:
-                    pts[i] = 2 * pts[i + s] - pts[i + 2 * s]
-        import pandas as pd
+    A group with fewer than two known pts keeps its nulls, and so does one whose last two known references are equal. Groups are short (a
+    key frame begins one), so each is an array in one row. An empty table gives an empty result.
+    """
+    frame = "struct<temporal_ref:bigint,pts:bigint>"
+    nothing = F.lit(None).cast("bigint")
+    start = F.struct(F.array().cast(f"array<{frame}>").alias("out"), *(nothing.alias(k) for k in ("p1", "t1", "p2", "t2")))
 
-        return pdf.assign(pts=pd.array(pts, dtype="Int64"))
+    def step(acc, x):
+        moved = (acc["p1"] - acc["p2"]).cast("decimal(38,0)") / F.nullif(F.abs(acc["t1"] - acc["t2"]), F.lit(0))
+        whole = F.when(moved >= 0, F.floor(moved)).otherwise(F.ceil(moved)).cast("bigint")
+        pts = F.coalesce(x["pts"], acc["p1"] + whole)
+        known = pts.isNotNull()
+        later = lambda new, old: F.when(known, new).otherwise(old)
+        out = F.concat(acc["out"], F.array(F.struct(x["temporal_ref"].alias("temporal_ref"), pts.alias("pts"))))
+        return F.struct(out.alias("out"), later(pts, acc["p1"]).alias("p1"), later(x["temporal_ref"], acc["t1"]).alias("t1"), later(acc["p1"], acc["p2"]).alias("p2"), later(acc["t1"], acc["t2"]).alias("t2"))
 
-    schema = "track_id long, gop long, temporal_ref long, pts long"
-    return packets.select("track_id", "gop", "temporal_ref", "pts").groupBy("track_id", "gop").applyInPandas(run, schema)
+    rows = packets.groupBy("track_id", "gop").agg(F.array_sort(F.collect_list(F.struct(F.col("temporal_ref").cast("bigint").alias("temporal_ref"), F.col("pts").cast("bigint").alias("pts")))).alias("f"))
+    for _ in range(3):
+        rows = rows.withColumn("f", F.reverse(F.aggregate("f", start, step)["out"]))
+    return rows.select("track_id", "gop", F.explode("f").alias("e")).select("track_id", "gop", "e.temporal_ref", "e.pts")
 
 
 def poc(packets: DataFrame, bits: int = 4) -> DataFrame:
@@ -72,37 +78,78 @@ def poc(packets: DataFrame, bits: int = 4) -> DataFrame:
     return group.withColumn("__t", turn).withColumn("poc", F.col("lsb") + F.sum("__t").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__t", "__g")
 
 
-def drift(packets: DataFrame, ahead: int = 600, limit: float = 0.33) -> DataFrame:
-    """Video pts pulled towards audio: per video frame the pace over the last ahead packets of both kinds, bounded by limit, stretches its step.
+#: Samples of an audio packet, and the rate at which counted packets tell the pace.
+SAMPLES, PACE_RATE = 1024, 48000
 
-    Each corrected pts rests on the one before it: sequential per track.
-    """
 
-    def run(pdf):
-        pdf = pdf.sort_values("frame_no")
-        heads = {"AUDIO": [], "VIDEO": []}
-        out, before, last = [], None, None
-        for media, pts in pdf[["media", "pts"]].itertuples(index=False):
-            own = heads[media]
-            own.append(pts)
-            del own[:-ahead]
-            if media == "AUDIO" or last is None:
-                out.append(pts)
+def drift(packets: DataFrame, ahead: int = 600, limit: float = 0.33, rate: int = 48000) -> DataFrame:
+    """fixed_pts in milliseconds: audio packets follow each other by their length; a video packet's step is the length of the audio among the next
+    ahead packets (its own included) over the number of video ones, corrected by the difference of the two clocks (with the weight of that
+    difference, one second at most) and bounded to limit of the step either way.
+
+    Counts are windows; only the video clock rests on the packet before. It is carried through each track's packets in order, batch by batch,
+    so a track of any length takes constant memory. Packets of a null frame_no come first; an empty table gives an empty result.
+    """
+    next_ones = track().rowsBetween(0, ahead - 1)
+    is_audio, is_video = (F.col("media") == m for m in ("AUDIO", "VIDEO"))
+    audio = F.coalesce(F.count_if(is_audio).over(track().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = packets.select("track_id", "frame_no", "media", "pts").withColumns({
+        "clock": (audio * SAMPLES).cast("double") / rate,
+        "step": (F.count_if(is_audio).over(next_ones) * SAMPLES).cast("double") / F.nullif(F.count_if(is_video).over(next_ones) * PACE_RATE, F.lit(0)),
+    })
+
+    def run(batches):
+        import math
+
+        import pyarrow as pa
+
+        at, video = None, 0.0
+        for b in batches:
+            out = []
+            for track_id, media, clock, step in zip(*(b.column(c).to_pylist() for c in ("track_id", "media", "clock", "step")), strict=True):
+                if track_id != at:
+                    at, video = track_id, 0.0
+                out.append(clock if media == "AUDIO" else video)
                 if media == "VIDEO":
-                    before, last = pts, pts
-                continue
-            audio = heads["AUDIO"]
-            lag = (audio[-1] if audio else pts) - last
-            step = pts - before
-            pace = 1.0 if step <= 0 else min(1 + limit, max(1 - limit, lag / step if lag > 0 else 1.0))
-            before, last = pts, last + int(step * pace)
-            out.append(last)
-        return pdf.assign(fixed_pts=out)[["track_id", "frame_no", "media", "pts", "fixed_pts"]]
+                    off = clock - video
+                    video += min((1 + limit) * step, max((1 - limit) * step, step + min(1.0, abs(off)) * off))
+            fixed = pa.array([math.floor(x * 1000 + 0.5) for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("track_id", "frame_no", "media", "pts")), fixed], ["track_id", "frame_no", "media", "pts", "fixed_pts"])
 
-    return packets.select("track_id", "frame_no", "media", "pts").groupBy("track_id").applyInPandas(run, "track_id long, frame_no long, media string, pts long, fixed_pts long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:4]) + ", fixed_pts long"
+    return rows.repartition("track_id").sortWithinPartitions("track_id", "frame_no").mapInArrow(run, schema)
 
 
 def continuity_breaks(rows: DataFrame, part: str, counter: str) -> DataFrame:
     """Rows whose counter isn't one more than the row before (the first is none)."""
     before = F.lag(counter).over(Window.partitionBy(part).orderBy(counter))
     return rows.withColumn("__b", before).where(F.col("__b").isNotNull() & (F.col("__b") + 1 != F.col(counter))).withColumnRenamed("__b", "previous")
+
+
+def timecode_gaps(rows: DataFrame, part: str, order: str) -> DataFrame:
+    """gap: whether a timecode (hour, minute, second, frame, drop; null hour: none) does not continue the one before in part.
+
+    It does not where one of the two is missing, the drop flag changes, the second moves by other than 0 or 1, the frame doesn't move by one inside a
+    second (modulo the frame rate once that is known), or a new second doesn't begin at its first frame after the last one: frame 0, but 2
+    in drop-frame minutes other than every tenth. The frame rate is 30 for drop-frame codes and otherwise learned at the first step to a frame 0;
+    a second that begins elsewhere before that is a gap. The first row of a part is a gap if it has a timecode.
+    """
+    w = Window.partitionBy(part).orderBy(order)
+    before = {c: F.lag(c).over(w) for c in ("hour", "minute", "second", "frame", "drop")}
+    seconds = lambda h, m, s: h * 3600 + m * 60 + s
+    sec = seconds(F.col("hour"), F.col("minute"), F.col("second"))
+    step = sec - seconds(before["hour"], before["minute"], before["second"])
+    learned = F.when((step == 1) & ~F.col("drop") & (before["drop"] == F.col("drop")) & (F.col("frame") == 0), before["frame"] + 1)
+    rows = rows.withColumns({"__step": step, "__frame": before["frame"], "__drop": before["drop"], "__none": before["hour"].isNull(), "__sec": sec, "__learn": learned})
+    known = F.first("__learn", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fps = F.when(F.col("drop"), F.lit(30)).otherwise(known)
+    rows = rows.withColumn("__fps", fps)
+    moved = F.col("frame") - F.col("__frame")
+    moved = F.when(F.col("__fps").isNull(), moved).otherwise((moved + F.col("__fps")) % F.col("__fps"))
+    first = F.when(F.col("drop") & (F.col("__sec") % 60 == 0) & (F.col("__sec") % 600 != 0), 2).otherwise(0)
+    rolled = F.when(F.col("__fps").isNull(), F.col("frame") != 0).otherwise((F.col("frame") != first) | (F.col("__frame") != F.col("__fps") - 1))
+    gap = (
+        F.when(F.col("__none"), F.col("hour").isNotNull()).when(F.col("hour").isNull() | (F.col("__drop") != F.col("drop")), True)
+        .when(F.col("__step") == 0, moved != 1).when(F.col("__step") == 1, rolled).otherwise(True)
+    )
+    return rows.withColumn("gap", gap).drop("__step", "__frame", "__drop", "__none", "__sec", "__learn", "__fps")

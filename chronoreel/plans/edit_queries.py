@@ -195,15 +195,32 @@ def fill_missing_pts(spark, d):
     return X.fill_missing(holes).select("track_id", "frame_no", "pts")
 
 
-@query("gop_pts_repair")
+def _gop_pass(k: int, before: str, back: bool) -> str:
+    order = "t desc, p is null, p desc" if back else "t, p is not null, p"
+    last = "r.p1 + trunc((r.p1 - r.p2) / nullif(abs(r.t1 - r.t2), 0))::bigint"
+    keep = lambda new, old: f"case when q is not null then {new} else {old} end"
+    return f"""n{k} as materialized (select track_id, gop, t, p, row_number() over (partition by track_id, gop order by {order}) as i from {before}),
+    r{k} as (select track_id, gop, i, t, p, p as p1, case when p is not null then t end as t1, null::bigint as p2, null::bigint as t2 from n{k} where i = 1
+    union all select track_id, gop, i, t, q, {keep('q', 'p1')}, {keep('t', 't1')}, {keep('p1', 'p2')}, {keep('t1', 't2')} from (select n.*, coalesce(n.p, {last}) as q, r.p1, r.t1, r.p2, r.t2
+    from r{k} r join n{k} n on n.track_id = r.track_id and n.gop = r.gop and n.i = r.i + 1) x)"""
+
+
+@query("gop_pts_repair", f"with recursive {PK_SQL}, g0 as (select track_id, sum(key::int) over {UP}::bigint as gop, frame_no as t, case when frame_no % 4 < 2 then pts end as p from pk), "
+    + ", ".join((_gop_pass(1, "g0", False), _gop_pass(2, "r1", True), _gop_pass(3, "r2", False))) + " select track_id, gop, t as temporal_ref, p as pts from r3")
 def gop_pts_repair(spark, d):
     from ..operators import packets as P
 
-    rows = P.gop_ids(pk(spark, d)).select("track_id", "gop", F.col("frame_no").alias("temporal_ref"), F.when(F.col("frame_no") % 3 != 1, F.col("pts")).alias("pts"))
+    rows = P.gop_ids(pk(spark, d)).select("track_id", "gop", F.col("frame_no").alias("temporal_ref"), F.when(F.col("frame_no") % 4 < 2, F.col("pts")).alias("pts"))
     return X.gop_pts(rows)
 
 
-@query("drift_correction")
+@query("drift_correction", f"""with recursive {PK_SQL}, c as (select track_id, frame_no, media, pts, (count(*) filter (media = 'AUDIO') over (partition by track_id order by frame_no rows between unbounded preceding and 1 preceding) * 1024)::double / 48000 as clock,
+    (count(*) filter (media = 'AUDIO') over n * 1024)::double / nullif(count(*) filter (media = 'VIDEO') over n * 48000, 0) as step from pk window n as (partition by track_id order by frame_no rows between current row and 599 following)),
+    v as materialized (select *, row_number() over (partition by track_id order by frame_no) as i from c where media = 'VIDEO'),
+    r as (select track_id, i, 0.0::double as video from v where i = 1 union all
+      select v.track_id, v.i + 1, video + least(1.33::double * step, greatest((1 - 0.33::double) * step, step + least(1.0::double, abs(clock - video)) * (clock - video))) from r join v on v.track_id = r.track_id and v.i = r.i)
+    select c.track_id, c.frame_no, c.media, c.pts, floor(case when c.media = 'AUDIO' then c.clock else r.video end * 1000 + 0.5)::bigint as fixed_pts
+    from c left join v on c.track_id = v.track_id and c.frame_no = v.frame_no left join r on r.track_id = v.track_id and r.i = v.i""")
 def drift_correction(spark, d):
     return X.drift(pk(spark, d))
 
@@ -223,3 +240,22 @@ def timecode_breaks(spark, d):
 @query("timecode_breaks_all", "with l as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as previous from conversations) select conv_id, turn, previous from l where previous + 1 <> turn")
 def timecode_breaks_all(spark, d):
     return X.continuity_breaks(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn").select("conv_id", "turn", "previous")
+
+
+TC_SQL = """with t as (select event_id, (event_id // 2500) % 2 = 1 as drop, case when event_id % 97 = 0 then null else (event_id // 108000) % 24 end as hour, (event_id // 1800) % 60 as minute, (event_id // 30) % 60 as second,
+    event_id % 30 + case when event_id % 501 = 0 then 1 else 0 end as frame, event_id // 2500 as part from events),
+    b as (select *, lag(hour) over w as ph, lag(frame) over w as pf, lag(drop) over w as pd, hour * 3600 + minute * 60 + second - lag(hour * 3600 + minute * 60 + second) over w as step, hour * 3600 + minute * 60 + second as sec from t window w as (partition by part order by event_id)),
+    k as (select *, case when drop then 30 else first_value(case when step = 1 and not drop and pd = drop and frame = 0 then pf + 1 end ignore nulls) over (partition by part order by event_id rows between unbounded preceding and 1 preceding) end as fps from b)
+    select event_id, case when ph is null then hour is not null when hour is null or pd <> drop then true when step = 0 then (case when fps is null then frame - pf else (frame - pf + fps) % fps end) <> 1
+    when step = 1 then case when fps is null then frame <> 0 else frame <> (case when drop and sec % 60 = 0 and sec % 600 <> 0 then 2 else 0 end) or pf <> fps - 1 end else true end as gap from k"""
+
+
+@query("timecode_gaps", TC_SQL)
+def timecode_gaps(spark, d):
+    e = F.col("event_id")
+    at = lambda n, m: (F.floor(e / n) % m).cast("bigint")
+    rows = table(spark, d, "events").select(
+        e, (at(2500, 2) == 1).alias("drop"), F.when(e % 97 != 0, at(108000, 24)).alias("hour"), at(1800, 60).alias("minute"), at(30, 60).alias("second"),
+        (e % 30 + F.when(e % 501 == 0, 1).otherwise(0)).alias("frame"), F.floor(e / 2500).alias("part"),
+    )
+    return X.timecode_gaps(rows, "part", "event_id").select("event_id", "gap")

@@ -21,11 +21,31 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: The markup tree by a stack of open elements that goes from token to token.
+TREE_SQL = r"""with recursive p as (select page_id as file, coalesce(html, '') as html from pages),
+    k as (select file, length(html) as n, regexp_extract_all(html, '(?s)<!--.*?-->|</?[a-zA-Z][a-zA-Z0-9]*[^>]*?/?>') as tok, string_split_regex(html, '(?s)<!--.*?-->|</?[a-zA-Z][a-zA-Z0-9]*[^>]*?/?>') as between from p),
+    u as (select file, n, unnest(range(1, len(tok) + 1)) as j, tok, between from k),
+    s as materialized (select file, n, tok[j] as t, (list_sum(list_transform(between[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(tok[1:j - 1], lambda x: length(x))), 0))::bigint as pos, j from u),
+    q as materialized (select file, n, row_number() over (partition by file order by j) as i, count(*) filter (t not like '</%') over (partition by file order by j) - 1 as node, pos, pos + length(t) as stop, t like '</%' as closing,
+      lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) as tag, t like '%/>' as single from s where t not like '<!--%'),
+    r as (select file, 0::bigint as i, []::varchar[] as tags, []::bigint[] as nodes from p union all
+      select file, i, case when not closing and (single or void) then up when not closing then list_append(up, tag) when hit = 0 then up else up[1:hit - 1] end,
+        case when not closing and (single or void) then above when not closing then list_append(above, node) when hit = 0 then above else above[1:hit - 1] end
+      from (select q.*, q.tag in ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') as void, r.tags as up, r.nodes as above,
+        coalesce(list_max(list_filter(range(1, len(r.tags) + 1), lambda x: r.tags[x] = q.tag)), 0) as hit from r join q on q.file = r.file and q.i = r.i + 1) x),
+    o as (select q.file, q.node, q.i, q.pos, q.stop, q.tag, q.n, b.tags as up, b.nodes as above, a.nodes as open_ from q join r b on b.file = q.file and b.i = q.i - 1 join r a on a.file = q.file and a.i = q.i where not q.closing),
+    e as (select o.file, o.node, min(r.i) as ends from o join r on r.file = o.file and r.i > o.i and not list_contains(r.nodes, o.node) where list_contains(o.open_, o.node) group by o.file, o.node),
+    tree as (select o.file, o.node::int as node, coalesce(o.above[-1], -1)::int as parent, (len(o.up) + 1)::int as depth, list_append(o.up, o.tag) as path, o.tag,
+      o.pos as "offset", case when not list_contains(o.open_, o.node) then o.stop when e.ends is null then o.n when c.tag = o.tag and not list_contains(w.nodes, o.node) and len(w.nodes) = len(o.up) then c.stop else c.pos end - o.pos as size
+      from o left join e on e.file = o.file and e.node = o.node left join q c on c.file = o.file and c.i = e.ends left join r w on w.file = o.file and w.i = e.ends)
+    """
+
+
 def pages(spark, d):
     return T.markup_tree(table(spark, d, "pages"))
 
 
-@query("tree_paths")
+@query("tree_paths", TREE_SQL + """select file, node, parent, depth, array_to_string(path, '.') as path, size from tree""")
 def tree_paths(spark, d):
     return pages(spark, d).select("file", "node", "parent", "depth", F.array_join("path", ".").alias("path"), "size")
 
@@ -50,7 +70,8 @@ def tree_has_path(spark, d):
     return T.has_path(table(spark, d, "pages").select(F.col("page_id").alias("file")), pages(spark, d), ["html", "body", "footer"])
 
 
-@query("tree_child_legality")
+@query("tree_child_legality", TREE_SQL + """select path[-2] as parent_tag, tag, count(*) as n from tree where depth > 1 and path[-2] || '>' || tag not in
+    ('html>head', 'html>body', 'head>meta', 'head>title', 'head>style', 'head>script', 'nav>ul', 'ul>li', 'li>a') group by all""")
 def tree_child_legality(spark, d):
     tree = pages(spark, d)
     legal = tree.sparkSession.createDataFrame([("html", "head"), ("html", "body"), ("head", "meta"), ("head", "title"), ("head", "style"), ("head", "script"), ("nav", "ul"), ("ul", "li"), ("li", "a")], "outer string, inner string")
@@ -63,7 +84,7 @@ def tree_hide_reveal(spark, d):
     return T.reveal(hidden.withColumn("now", F.col("tag"))).where("tag = 'p'").groupBy("file").agg(F.count_if(F.col("now") == "free").alias("free"), F.count("*").alias("back"))
 
 
-@query("tree_remove_children")
+@query("tree_remove_children", TREE_SQL + "select tag, count(*) as n from tree where not list_has_any(path, ['nav', 'footer']) group by tag")
 def tree_remove_children(spark, d):
     return T.remove_children(pages(spark, d), ["nav", "footer"]).groupBy("tag").agg(F.count("*").alias("n"))
 
