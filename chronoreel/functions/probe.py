@@ -15,11 +15,14 @@ SIGNATURES = (
 
 def scores(data: Column) -> Column:
     """array<struct<score, format>> of every signature that fits; a transport stream by its repeated sync byte."""
-    h = F.hex(F.substring(data, 1, 600))
-    hits = [F.when(F.substring(h, 2 * at + 1, len(sig)) == sig, F.struct(F.lit(score).alias("score"), F.lit(name).alias("format"))) for name, at, sig, score in SIGNATURES]
-    sync = (F.substring(h, 1, 2) == "47") & (F.substring(h, 377, 2) == "47") & (F.substring(h, 753, 2) == "47")
-    hits.append(F.when(sync, F.struct(F.lit(100).alias("score"), F.lit("mpegts").alias("format"))))
-    return F.array_compact(F.array(*hits))
+    def of(h: Column) -> Column:
+        hits = [F.when(F.substring(h, 2 * at + 1, len(sig)) == sig, F.struct(F.lit(score).alias("score"), F.lit(name).alias("format"))) for name, at, sig, score in SIGNATURES]
+        sync = (F.substring(h, 1, 2) == "47") & (F.substring(h, 377, 2) == "47") & (F.substring(h, 753, 2) == "47")
+        hits.append(F.when(sync, F.struct(F.lit(100).alias("score"), F.lit("mpegts").alias("format"))))
+        return F.array_compact(F.array(*hits))
+
+    # a lambda variable, so that the hex text is made once a row
+    return F.element_at(F.transform(F.array(F.hex(F.substring(data, 1, 600))), of), 1)
 
 
 def detect(data: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import global_prefix_sum
+from .prefix import global_prefix_sum, global_prefix_sums
 from .runs import exclusive_sum
 
 
@@ -87,22 +87,43 @@ def display_order(packets: DataFrame) -> DataFrame:
 def reorder_bounded(packets: DataFrame, depth: int = 7) -> DataFrame:
     """Release order of a buffer of depth frames that always lets the least pts go: equal to display order where no frame is more than depth late.
 
-    A frame of the buffer leaves when the buffer is full, so its place depends on all before it: sequential per track.
+    A frame of the buffer leaves when the buffer is full, so its place depends on all before it: the heap is carried through each track's
+    packets in order, batch by batch, so a track of any length takes memory for depth frames. pts and frame_no must not be null.
     """
     import heapq
 
-    def run(pdf):
-        heap, out = [], []
-        for pts, no in pdf.sort_values("frame_no")[["pts", "frame_no"]].itertuples(index=False):
-            heapq.heappush(heap, (pts, no))
-            if len(heap) > depth:
-                out.append(heapq.heappop(heap))
+    import pyarrow as pa
+
+    def run(batches):
+        at, heap, n, out = None, [], 0, []
+
+        def leave():
+            nonlocal n
+            pts, no = heapq.heappop(heap)
+            out.append((at, no, pts, n))
+            n += 1
+
+        def batch():
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["track_id", "frame_no", "pts", "out_no"])
+
+        for b in batches:
+            for track_id, no, pts in zip(*(b.column(c).to_pylist() for c in ("track_id", "frame_no", "pts")), strict=True):
+                if track_id != at:
+                    while heap:
+                        leave()
+                    at, n = track_id, 0
+                heapq.heappush(heap, (pts, no))
+                if len(heap) > depth:
+                    leave()
+            yield batch()
         while heap:
-            out.append(heapq.heappop(heap))
-        place = {no: i for i, (_, no) in enumerate(out)}
-        return pdf.assign(out_no=pdf["frame_no"].map(place).astype("int64"))[["track_id", "frame_no", "pts", "out_no"]]
+            leave()
+        yield batch()
 
-    return packets.select("track_id", "frame_no", "pts").groupBy("track_id").applyInPandas(run, "track_id long, frame_no long, pts long, out_no long")
+    rows = packets.select(*(F.col(c).cast("long") for c in ("track_id", "frame_no", "pts")))
+    return rows.repartition("track_id").sortWithinPartitions("track_id", "frame_no").mapInArrow(run, "track_id long, frame_no long, pts long, out_no long")
 
 
 def copy_durations(packets: DataFrame, ahead: int = 7) -> DataFrame:
@@ -114,8 +135,7 @@ def copy_durations(packets: DataFrame, ahead: int = 7) -> DataFrame:
 def concat_tracks(packets: DataFrame, ends: str = "duration") -> DataFrame:
     """All tracks end to end in track_id order: cat_pts and cat_frame count on from the track before."""
     spans = packets.groupBy("track_id").agg(F.max(F.col("pts") + F.col(ends)).alias("__end"), F.min("pts").alias("__start"), F.count("*").alias("__n"))
-    spans = global_prefix_sum(spans, ["track_id"], F.col("__end") - F.col("__start"), "__pts0")
-    spans = global_prefix_sum(spans, ["track_id"], F.col("__n"), "__frame0")
+    spans = global_prefix_sums(spans, ["track_id"], {"__pts0": F.col("__end") - F.col("__start"), "__frame0": F.col("__n")})
     joined = packets.join(spans, "track_id")
     return joined.withColumns({"cat_pts": F.col("pts") - F.col("__start") + F.col("__pts0"), "cat_frame": F.col("frame_no") + F.col("__frame0")}).drop("__end", "__start", "__n", "__pts0", "__frame0")
 
@@ -144,19 +164,25 @@ def chunk_by_frames(packets: DataFrame, n: int) -> DataFrame:
 
 
 def chunk_by_ticks(packets: DataFrame, ticks: int) -> DataFrame:
-    """A chunk closes once its durations reach ticks, and the count starts anew: a running sum that resets, sequential per track."""
-
-    def run(pdf):
-        pdf = pdf.sort_values("frame_no")
-        held, chunk, out = 0, 0, []
-        for d in pdf["duration"]:
-            out.append(chunk)
-            held += int(d)
-            if held >= ticks:
-                held, chunk = 0, chunk + 1
-        return pdf.assign(chunk=out)
-
-    return packets.select("track_id", "frame_no", "duration").groupBy("track_id").applyInPandas(run, "track_id long, frame_no long, duration long, chunk long")
+    """A chunk closes once its durations reach ticks, and the count starts anew: a running sum that resets, carried through each track's packets in
+    order, batch by batch, in constant memory. A null duration counts as 0."""
+    import pyarrow as pa
+
+    def run(batches):
+        at, held, chunk = None, 0, 0
+        for b in batches:
+            out = []
+            for track_id, d in zip(b.column("track_id").to_pylist(), b.column("duration").to_pylist(), strict=True):
+                if track_id != at:
+                    at, held, chunk = track_id, 0, 0
+                out.append(chunk)
+                held += d or 0
+                if held >= ticks:
+                    held, chunk = 0, chunk + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], ["track_id", "frame_no", "duration", "chunk"])
+
+    rows = packets.select(*(F.col(c).cast("long") for c in ("track_id", "frame_no", "duration")))
+    return rows.repartition("track_id").sortWithinPartitions("track_id", "frame_no").mapInArrow(run, "track_id long, frame_no long, duration long, chunk long")
 
 
 def copy_config_durations(packets: DataFrame) -> DataFrame:

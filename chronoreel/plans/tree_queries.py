@@ -119,5 +119,5 @@ HEADS = ["0000001866747970", "1A45DFA3", "464C5601", "89504E470D0A1A0A", "524946
 @query("probe_format", "select doc_id, ['mov', 'mkv', 'flv', 'png', 'wav', 'y4m', null][doc_id % 7 + 1] as format from documents")
 def probe_format(spark, d):
     heads = F.array(*map(F.lit, HEADS))
-    data = F.concat(F.unhex(F.get(heads, (F.col("doc_id") % 7).cast("int"))), F.encode("text", "UTF-8"))
+    data = F.concat(F.unhex(F.get(heads, (F.col("doc_id") % 7).cast("int"))), F.encode(F.substring("text", 1, 600), "UTF-8"))  # a probe reads 600 bytes
     return table(spark, d, "documents").select("doc_id", probe.detect(data).alias("format"))

@@ -27,7 +27,7 @@ BLOCK = "track int, cluster_time long, time int, key boolean, lacing int, frame
 
 
 def walk_boxes(data: bytes) -> Iterator[tuple]:
-    """(node, parent, depth, path, tag, offset, size, payload of a leaf up to 64 KiB else none)."""
+    """(node, parent, depth, path, tag, offset, size, payload of a leaf)."""
     stack, node = [(0, len(data), -1, ())], 0
     while stack:
         at, end, parent, path = stack.pop()
@@ -45,7 +45,7 @@ def walk_boxes(data: bytes) -> Iterator[tuple]:
         stack.append((at + size, end, parent, path))
         inner = (*path, tag)
         leaf = tag not in CONTAINERS
-        yield node, parent, len(inner), list(inner), tag, at, size, data[at + head : stop] if leaf and stop - at <= 1 << 16 else None
+        yield node, parent, len(inner), list(inner), tag, at, size, data[at + head : stop] if leaf else None
         if not leaf:
             stack.append((at + head + CONTAINERS[tag], stop, node, inner))
         node += 1

@@ -186,3 +186,62 @@ def test_whole_table_forms_reach_every_track(spark, tmp_path):
     assert len(flags) == 903 and {k for k, v in flags.items() if not v} == {(7, 0), (7, 2)}
     spark.createDataFrame([(1, t) for t in (0, 1, 2, 5, 6)] + [(2, t) for t in range(9)], "conv_id long, turn int").write.parquet(str(tmp_path / "conversations.parquet"))
     assert [tuple(r) for r in QUERIES["timecode_breaks_all"](spark, str(tmp_path)).collect()] == [(1, 5, 2)]
+
+
+def test_cutting_to_gaps(spark):
+    """Fixed values that must come out: sizes left, and the edits that play them."""
+    from chronoreel.operators import movies
+
+    sizes = [*range(42, 74), *range(142, 174)]
+    samples = spark.createDataFrame([(1, i, i * 1024, 1024) for i in range(64)] + [(2, 0, 0, 10)], "track_id long, sample long, start long, duration long")
+    gaps = spark.createDataFrame([(1, 14400, 28799), (1, 43200, 57599)], "track_id long, gap_start long, gap_end long")
+    kept, edits = movies.cut_to_gaps(samples, gaps)
+    assert [sizes[r["sample"]] for r in kept.where("track_id = 1").orderBy("sample").collect()] == [*range(42, 57), *range(70, 74), *range(142, 153), *range(166, 174)]
+    assert [(r["media_time"], r["duration"]) for r in edits.where("track_id = 1").orderBy("ord").collect()] == [(0, 14400), (15488, 14400), (30976, 7936)]
+    assert [(r["media_time"], r["duration"]) for r in edits.where("track_id = 2").collect()] == [(0, 10)]
+    assert kept.limit(0).count() == 0 and movies.cut_to_gaps(samples.limit(0), gaps.limit(0))[1].count() == 0
+
+
+def test_group_times_from_two_known_ones(spark):
+    from chronoreel.operators import repair
+
+    def fixed(pts):
+        rows = [(1, 0, t, p) for t, p in enumerate(pts)]
+        return [r["pts"] for r in repair.gop_pts(spark.createDataFrame(rows, "track_id long, gop long, temporal_ref long, pts long")).orderBy("temporal_ref").collect()]
+
+    assert fixed([0, None, 20, None]) == [0, 10, 20, 30]
+    assert fixed([None, None, 20, 30]) == [0, 10, 20, 30]
+    assert fixed([None, 10, None]) == [None, 10, None] and fixed([None]) == [None]
+    assert repair.gop_pts(spark.createDataFrame([], "track_id long, gop long, temporal_ref long, pts long")).count() == 0
+
+
+def test_drift_by_hand(spark):
+    from chronoreel.operators import repair
+
+    rows = [(1, i, m, 0) for i, m in enumerate(["AUDIO", "VIDEO", "AUDIO", "VIDEO", "AUDIO", "AUDIO"])] + [(2, 0, "VIDEO", 0)]
+    got = {(r["track_id"], r["frame_no"]): r["fixed_pts"] for r in repair.drift(spark.createDataFrame(rows, "track_id long, frame_no long, media string, pts long")).collect()}
+    a = 1024 / 48000
+    first = a * 3 / 2 + a * a  # three audio packets to two video ones, and the clocks differ by one packet
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): int(a * 1000 + 0.5), (1, 3): int(first * 1000 + 0.5), (1, 4): int(2 * a * 1000 + 0.5), (1, 5): int(3 * a * 1000 + 0.5), (2, 0): 0}
+
+
+def test_timecode_gaps_by_rule(spark):
+    from chronoreel.operators import repair
+
+    def gaps(codes, drop=False):
+        rows = [(1, i, *(c or (None,) * 4), drop) for i, c in enumerate(codes)]
+        df = spark.createDataFrame(rows, "part int, n int, hour int, minute int, second int, frame int, drop boolean")
+        return [r["gap"] for r in repair.timecode_gaps(df, "part", "n").orderBy("n").collect()]
+
+    assert gaps([(0, 0, 0, 23), (0, 0, 0, 24), (0, 0, 1, 0), (0, 0, 1, 1), (0, 0, 1, 3)]) == [True, False, False, False, True]
+    assert gaps([(0, 0, 59, 29), (0, 1, 0, 2)], True) == [True, False] and gaps([(0, 9, 59, 29), (0, 10, 0, 0)], True) == [True, False]
+    assert gaps([(0, 0, 59, 29), (0, 1, 0, 0)], True) == [True, True] and gaps([(0, 0, 0, 1), None, (0, 0, 0, 3)]) == [True, True, True] and gaps([(0, 0, 0, 1), (0, 0, 2, 0)]) == [True, True]
+
+
+def test_anti_joins_see_nulls(spark):
+    from chronoreel.operators.intervals import interval_join
+
+    left = spark.createDataFrame([(1, 0, 10, None), (1, 0, 10, None), (1, 50, 60, "x"), (2, 0, 10, None)], "k int, a_start long, a_end long, note string")
+    right = spark.createDataFrame([(1, 5, 7), (1, 8, 30)], "k int, b_start long, b_end long")
+    assert interval_join(left, right, "k", 4, "semi").count() == 2
+    assert sorted(r["a_start"] for r in interval_join(left, right, "k", 4, "anti").collect()) == [0, 50]
