@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs. All
 but the last return the columns of documents. The last has no SQL form (piece encoding), and near-duplicates cross documents, so the
 pipeline is tested against brute force instead of ORACLE_SQL.
+
+Nulls and odd input: a null or empty text fails the base rules and goes in the first stage; a null doc_id is never a near-duplicate; a null lang
+or source is a value of its own; equal rows share their fate in every stage but the second, which keeps all rows of the doc_id it keeps; other
+columns are kept up to the last stage; an empty table passes every stage as an empty one.
 """
 
 from __future__ import annotations
