@@ -302,3 +302,20 @@ def test_pipeline_stages(spark, data):
     model = pieces.Model(pieces.load())
     texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
     assert len(out) == sum(n.values()) and all(model.decode(r["token_ids"]) == texts[r["doc_id"]] and r["round_trip"] for r in out)
+
+
+def test_pipeline_stages_take_odd_tables(spark, data):
+    import corpus_pipeline
+
+    from chronoreel.llm.common import materialize
+
+    text = "one two three four five six seven eight nine ten "
+    rows = [(1, None, "en", "a", 0, 5), (2, "", None, None, 0, 5), (3, text + "x1", "en", "a", 52, 5), (3, text + "x1", "en", "a", 52, 5), (None, text + "y2", None, None, 52, 5), (7, text + "token = abcdef123", "en", "b", 66, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long")
+    for docs, last in ((odd, {3, None, 7}), (odd.limit(0), set())):
+        names = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = materialize(stage(spark, docs, data))
+            assert docs.columns == names
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
+        assert {r["doc_id"] for r in out} <= last and all(r["round_trip"] for r in out) and bool(out) == bool(last)
