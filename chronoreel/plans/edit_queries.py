@@ -108,22 +108,12 @@ def insert_gap(spark, d):
     return E.insert_gap(ed(spark, d), 1500, 77)
 
 
-@query("paste_edits", ED + f""", {SPLIT}, src as (select track_id + 5 as track_id, ord, duration, media_time from ed where track_id % 3 = 0), tot as (select track_id, sum(duration) as n from src group by track_id),
+@query("paste_edits", ED + f""", {SPLIT}, src as (select track_id + 5 as track_id, ord, duration, media_time from ed), tot as (select track_id, sum(duration) as n from src group by track_id),
     u as (select track_id, side * 2 as k0, start as k1, duration, media_time from sp union all select track_id, 1, ord, duration, media_time from src
       union all select distinct ed.track_id, 1, 0, (select max(n) from tot), -1 from ed where track_id not in (select track_id from src)
       union all select distinct track_id, 0, 0, 1500, -1 from src where track_id not in (select track_id from ed))
     select track_id, (row_number() over (partition by track_id order by k0, k1) - 1)::int as ord, duration::bigint as duration, media_time::bigint as media_time from u""")
 def paste_edits(spark, d):
-    base = ed(spark, d)
-    return E.paste(base, base.where("track_id % 3 = 0").withColumn("track_id", F.col("track_id") + 5), 1500)
-
-
-@query("paste_edits_all", ED + f""", {SPLIT}, src as (select track_id + 5 as track_id, ord, duration, media_time from ed), tot as (select track_id, sum(duration) as n from src group by track_id),
-    u as (select track_id, side * 2 as k0, start as k1, duration, media_time from sp union all select track_id, 1, ord, duration, media_time from src
-      union all select distinct ed.track_id, 1, 0, (select max(n) from tot), -1 from ed where track_id not in (select track_id from src)
-      union all select distinct track_id, 0, 0, 1500, -1 from src where track_id not in (select track_id from ed))
-    select track_id, (row_number() over (partition by track_id order by k0, k1) - 1)::int as ord, duration::bigint as duration, media_time::bigint as media_time from u""")
-def paste_edits_all(spark, d):
     base = ed(spark, d)
     return E.paste(base, base.withColumn("track_id", F.col("track_id") + 5), 1500)
 
@@ -231,14 +221,8 @@ def poc_unwrap(spark, d):
     return X.poc(pk(spark, d).withColumn("lsb", F.col("frame_no") % 16)).select("track_id", "frame_no", "poc")
 
 
-@query("timecode_breaks", "with l as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as previous from conversations where turn % 3 <> 1) select conv_id, turn, previous from l where previous + 1 <> turn")
+@query("timecode_breaks", "with l as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as previous from conversations) select conv_id, turn, previous from l where previous + 1 <> turn")
 def timecode_breaks(spark, d):
-    rows = table(spark, d, "conversations").where("turn % 3 <> 1").select("conv_id", "turn")
-    return X.continuity_breaks(rows, "conv_id", "turn").select("conv_id", "turn", "previous")
-
-
-@query("timecode_breaks_all", "with l as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as previous from conversations) select conv_id, turn, previous from l where previous + 1 <> turn")
-def timecode_breaks_all(spark, d):
     return X.continuity_breaks(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn").select("conv_id", "turn", "previous")
 
 

@@ -111,14 +111,8 @@ def md5_frames(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
-@query("byte_histogram", "with b as (select unnest(string_split(lower(text), '')) as c from documents) select ascii(c)::int as value, count(*) as count from b where c >= ' ' and c <= '~' group by 1")
+@query("byte_histogram", "with b as (select unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents) select ('0x' || h)::int as value, count(*) as count from b group by h")
 def byte_histogram(spark, d):
-    chars = table(spark, d, "documents").select(F.explode(F.split(F.lower("text"), "")).alias("c")).where("c >= ' ' and c <= '~'")
-    return runs.value_counts(chars.withColumn("value", F.ascii("c")), "value")
-
-
-@query("byte_histogram_all", "with b as (select unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents) select ('0x' || h)::int as value, count(*) as count from b group by h")
-def byte_histogram_all(spark, d):
     return runs.byte_counts(table(spark, d, "documents").select("text"))
 
 

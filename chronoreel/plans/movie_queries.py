@@ -161,12 +161,12 @@ def mix_samples(spark, d):
     return vectors(spark, d).select("vec_id", K.mix(x, [0.7, 1.0, 0.5]).alias("mixed"), K.mix(x, [0.7, 1.0, 0.5], [True, False, True]).alias("solo"))
 
 
-@query("zip_tracks", """with a as (select vec_id as block, embedding[1]::double as v from embeddings where vec_id % 2 = 0), b as (select vec_id as block, embedding[2]::double as v from embeddings where vec_id % 3 = 0)
+@query("zip_tracks", """with a as (select vec_id as block, embedding[1]::double as v from embeddings), b as (select vec_id + 3 as block, embedding[2]::double as v from embeddings)
     select coalesce(a.block, b.block) as block, coalesce(a.v, 0) as left_, coalesce(b.v, 0) as right_ from a full join b on a.block = b.block""")
 def zip_tracks(spark, d):
     e = vectors(spark, d)
-    a = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("block"), F.get("x", F.lit(0)).alias("left_"))
-    b = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("block"), F.get("x", F.lit(1)).alias("right_"))
+    a = e.select(F.col("vec_id").alias("block"), F.get("x", F.lit(0)).alias("left_"))
+    b = e.select((F.col("vec_id") + 3).alias("block"), F.get("x", F.lit(1)).alias("right_"))
     return a.join(b, "block", "full").select("block", F.coalesce("left_", F.lit(0.0)).alias("left_"), F.coalesce("right_", F.lit(0.0)).alias("right_"))
 
 

@@ -93,24 +93,11 @@ def clip_gop(spark, d):
     return P.clip(pk(spark, d), 10, 25).select("track_id", "frame_no", "clip_frame", "clip_pts")
 
 
-@query("seek_pts", PK + f""", {KF}, pt as (select o_orderkey, pk0.track_id, lo + (o_orderkey * 7919) % 100000000000 as "at" from orders join
-    (select track_id, min(pts) as lo from pk group by track_id) pk0 on pk0.track_id = o_custkey % 100)
-    select o_orderkey, pt.track_id, "at", max(frame_no) as frame_no, max(pts) as pts, arg_max(key_frame, frame_no) as key_frame
-    from pt left join kf on kf.track_id = pt.track_id and kf.pts <= pt."at" group by o_orderkey, pt.track_id, "at" """)
-def seek_pts(spark, d):
-    packets = pk(spark, d)
-    low = packets.groupBy("track_id").agg(F.min("pts").alias("lo"))
-    points = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("track_id")).join(low, "track_id")
-    points = points.select("o_orderkey", "track_id", (F.col("lo") + (F.col("o_orderkey") * 7919) % 100000000000).alias("at"))
-    found = P.seek(packets, points.select("track_id", "at").distinct())
-    return points.join(found, ["track_id", "at"])
-
-
-@query("seek_pts_all", PK + f""", {KF}, t as (select track_id, min(pts) as lo, row_number() over (order by track_id) - 1 as i, count(*) over () as n from pk group by track_id),
+@query("seek_pts", PK + f""", {KF}, t as (select track_id, min(pts) as lo, row_number() over (order by track_id) - 1 as i, count(*) over () as n from pk group by track_id),
     pt as (select o_orderkey, t.track_id, lo + (o_orderkey * 7919) % 100000000000 as "at" from orders join t on t.i = o_custkey % t.n)
     select o_orderkey, pt.track_id, "at", max(frame_no) as frame_no, max(pts) as pts, arg_max(key_frame, frame_no) as key_frame
     from pt left join kf on kf.track_id = pt.track_id and kf.pts <= pt."at" group by o_orderkey, pt.track_id, "at" """)
-def seek_pts_all(spark, d):
+def seek_pts(spark, d):
     packets = pk(spark, d)
     low = global_prefix_sum(packets.groupBy("track_id").agg(F.min("pts").alias("lo")), ["track_id"], F.lit(1), "i")
     points = table(spark, d, "orders").crossJoin(F.broadcast(low.agg(F.count("*").alias("n")))).where("n > 0").select("o_orderkey", (F.col("o_custkey") % F.col("n")).alias("i")).join(low, "i")
@@ -253,18 +240,9 @@ def ctts_runs(spark, d):
     return R.composition_runs(swapped)
 
 
-@query("sync_flags", PK + """, s as (select track_id, frame_no from pk where key and track_id % 5 <> 0)
-    select pk.track_id, pk.frame_no, s.frame_no is not null or pk.track_id not in (select track_id from s) as key from pk left join s on s.track_id = pk.track_id and s.frame_no = pk.frame_no""")
-def sync_flags(spark, d):
-    packets = pk(spark, d)
-    sync = packets.where("key and track_id % 5 <> 0").select("track_id", (F.col("frame_no") + 1).alias("sample_no_1"))
-    out = R.sync_flags(packets.select("track_id", F.col("frame_no").alias("sample_no")), sync)
-    return out.select("track_id", F.col("sample_no").alias("frame_no"), "key")
-
-
-@query("sync_flags_all", PK + """, s as (select distinct track_id from pk where key)
+@query("sync_flags", PK + """, s as (select distinct track_id from pk where key)
     select track_id, frame_no, key or track_id not in (select track_id from s) as key from pk""")
-def sync_flags_all(spark, d):
+def sync_flags(spark, d):
     packets = pk(spark, d)
     sync = packets.where("key").select("track_id", (F.col("frame_no") + 1).alias("sample_no_1"))
     out = R.sync_flags(packets.select("track_id", F.col("frame_no").alias("sample_no")), sync)
@@ -289,21 +267,12 @@ def stream_info(spark, d):
     return S.stream_info(pk(spark, d))
 
 
-@query("reference_lists", PK + """, c as (select track_id, frame_no as poc from pk where frame_no < 40 and frame_no % 8 = 3), r as (select track_id, frame_no as ref_poc from pk where frame_no < 40 and frame_no % 4 = 1)
-    select track_id, poc, ref_poc, (row_number() over (partition by track_id, poc order by case when ref_poc < poc then 0 else 1 end, abs(ref_poc - poc)) - 1)::int as list0,
-    (row_number() over (partition by track_id, poc order by case when ref_poc < poc then 1 else 0 end, abs(ref_poc - poc)) - 1)::int as list1 from c join r using (track_id) where ref_poc <> poc""")
-def reference_lists(spark, d):
-    near = pk(spark, d).where("frame_no < 40")
-    refs = near.where("frame_no % 4 = 1").select("track_id", F.col("frame_no").alias("ref_poc"))
-    return S.reference_order(refs, near.where("frame_no % 8 = 3").select("track_id", F.col("frame_no").alias("poc")))
-
-
-@query("reference_lists_all", PK + """, d as (select track_id, frame_no as poc, row_number() over w as n, coalesce(sum(key::bigint) over (partition by track_id order by xor(frame_no, 1) rows between unbounded preceding and current row), 0)::bigint as gop
+@query("reference_lists", PK + """, d as (select track_id, frame_no as poc, row_number() over w as n, coalesce(sum(key::bigint) over (partition by track_id order by xor(frame_no, 1) rows between unbounded preceding and current row), 0)::bigint as gop
     from pk window w as (partition by track_id order by xor(frame_no, 1))), b as (select c.track_id, c.poc, r.poc as ref_poc from d c join d r on r.track_id = c.track_id and r.gop = c.gop and r.n between c.n - 16 and c.n - 1),
     l as (select *, row_number() over (partition by track_id, poc order by ref_poc > poc, abs(ref_poc - poc)) - 1 as l0, row_number() over (partition by track_id, poc order by ref_poc < poc, abs(ref_poc - poc)) - 1 as l1,
     count(*) over p > 1 and (bool_and(ref_poc < poc) over p or bool_and(ref_poc > poc) over p) as same from b window p as (partition by track_id, poc))
     select track_id, poc, ref_poc, l0::int as list0, case when same and l1 < 2 then 1 - l1 else l1 end::int as list1 from l""")
-def reference_lists_all(spark, d):
+def reference_lists(spark, d):
     pictures = pk(spark, d).select("track_id", F.col("frame_no").bitwiseXOR(F.lit(1).cast("long")).alias("decode_no"), F.col("frame_no").alias("poc"), "key")
     return S.reference_window(pictures)
 

@@ -6,6 +6,7 @@ packet needs (the running group, or at most depth held frames), never a whole tr
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,36 +44,19 @@ def gop_state(events: DataFrame) -> DataFrame:
 
 
 def _shared(spark) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chronoreel-')}").rstrip("/")
+    """A new folder in spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests), and an error on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='chronoreel-')}"
+    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def reorder(events: DataFrame, depth: int = 7) -> DataFrame:
-    """Packets released by least event_id from a buffer of depth a track; what is still held when input ends stays held."""
-    rows = events.select(F.col("user_id").alias("track_id"), "event_id")
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        import heapq
-
-        held, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        heapq.heapify(held)
-        out = []
-        for pdf in frames:
-            for i in pdf["event_id"]:
-                heapq.heappush(held, int(i))
-                if len(held) > depth:
-                    out.append(heapq.heappop(held))
-        state.update((sorted(held), n + len(out)))
-        yield pd.DataFrame({"track_id": key[0], "event_id": out, "out_no": range(n, n + len(out))}, dtype="int64")
-
-    return rows.groupBy("track_id").applyInPandasWithState(step, "track_id long, event_id long, out_no long", "held array<long>, n long", "append", "NoTimeout")
-
+    """Packets released by least event_id from a buffer of depth a track; the last depth stay held, as a stream has no end.
 
-def reorder_all(events: DataFrame, depth: int = 7) -> DataFrame:
-    """Every packet of what is there now by least event_id, the buffers flushed when the input ends.
-
-    A shuffle doesn't keep the order of rows, so each micro-batch of a track is sorted together with what was held. The stream runs to
-    its end into shared files; then one batch pass over its last state releases what is still held, numbered on from n."""
+    A shuffle doesn't keep the order of rows, so each micro-batch of a track is sorted together with what was held."""
     rows = events.select(F.col("user_id").alias("track_id"), "event_id")
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -82,23 +66,38 @@ def reorder_all(events: DataFrame, depth: int = 7) -> DataFrame:
         state.update((seen[len(out) :].tolist(), n + len(out)))
         yield pd.DataFrame({"track_id": pd.array([key[0]] * len(out), "Int64"), "event_id": out, "out_no": np.arange(n, n + len(out))})
 
+    return rows.groupBy("track_id").applyInPandasWithState(step, REORDERED, "held array<long>, n long", "append", "NoTimeout")
+
+
+def reorder_all(events: DataFrame, depth: int = 7) -> DataFrame:
+    """Every packet of what is there now by least event_id, the buffers of reorder() flushed when the input ends: the stream runs to its
+    end into shared files; then one batch pass over its last state releases what is still held, numbered on from n."""
     spark = events.sparkSession
-    top = f"{_shared(spark)}/reorder-{uuid.uuid4().hex}"
-    stream = rows.groupBy("track_id").applyInPandasWithState(step, REORDERED, "held array<long>, n long", "append", "NoTimeout")
-    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start(f"{top}/out")
-    q.awaitTermination()
-    released = spark.read.schema(REORDERED).parquet(f"{top}/out")
+    top = _shared(spark)
+    released = run_available(reorder(events, depth), top=top)
     state = spark.read.format("statestore").load(f"{top}/state")
     held = state.select(F.col("key.track_id").alias("track_id"), F.posexplode("value.groupState.held").alias("i", "event_id"), F.col("value.groupState.n").alias("n"))
     return released.unionByName(held.select("track_id", "event_id", (F.col("n") + F.col("i")).alias("out_no")))
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its result as a table."""
+def run_available(stream: DataFrame, mode: str = "append", top: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and return its result as a table of the shared folder, never through the driver.
+
+    In complete mode every batch writes the whole result anew, and the last one's is returned. Checkpoints and results are under top."""
     spark = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    top = top or _shared(spark)
+    writer = stream.writeStream.option("checkpointLocation", f"{top}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{top}/out").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{top}/out")
+    batches = []
+
+    def save(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{top}/out/{n}")
+        batches.append(n)
+
+    writer.foreachBatch(save).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{top}/out/{batches[-1]}") if batches else spark.createDataFrame([], stream.schema)
 
 
 def read_events(spark, sf_dir: str) -> DataFrame:

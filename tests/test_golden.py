@@ -180,12 +180,12 @@ def test_whole_table_forms_reach_every_track(spark, tmp_path):
     rows = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, i int")
     rows.selectExpr("event_id", "user_id", "event_type", "value", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, i) as ts").write.parquet(str(tmp_path / "events.parquet"))
     spark.range(602).selectExpr("id as o_orderkey", "id as o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
-    sought = QUERIES["seek_pts_all"](spark, str(tmp_path)).groupBy("track_id").count().collect()
+    sought = QUERIES["seek_pts"](spark, str(tmp_path)).groupBy("track_id").count().collect()
     assert {r["track_id"]: r["count"] for r in sought} == dict.fromkeys([*range(0, 600, 2), 7], 2)
-    flags = {(r["track_id"], r["frame_no"]): r["key"] for r in QUERIES["sync_flags_all"](spark, str(tmp_path)).collect()}
+    flags = {(r["track_id"], r["frame_no"]): r["key"] for r in QUERIES["sync_flags"](spark, str(tmp_path)).collect()}
     assert len(flags) == 903 and {k for k, v in flags.items() if not v} == {(7, 0), (7, 2)}
     spark.createDataFrame([(1, t) for t in (0, 1, 2, 5, 6)] + [(2, t) for t in range(9)], "conv_id long, turn int").write.parquet(str(tmp_path / "conversations.parquet"))
-    assert [tuple(r) for r in QUERIES["timecode_breaks_all"](spark, str(tmp_path)).collect()] == [(1, 5, 2)]
+    assert [tuple(r) for r in QUERIES["timecode_breaks"](spark, str(tmp_path)).collect()] == [(1, 5, 2)]
 
 
 def test_cutting_to_gaps(spark):
