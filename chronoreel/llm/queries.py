@@ -47,12 +47,8 @@ def op3_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.link(*toolcalls.turns_as_calls(table(spark, sf_dir, "conversations")), toolcalls.REPLY).drop("n_results")
-
-
-def op9_tool_call_linking_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link(*toolcalls.all_turns_as_calls(table(spark, sf_dir, "conversations")), toolcalls.TURNS)
 
 
-QUERIES = {"op9_tool_call_linking": op9_tool_call_linking, "op3_bwt_merge_dedup": op3_bwt_merge_dedup, "op7_hyperminhash_dedup": op7_hyperminhash_dedup, "op6_url_differencing": op6_url_differencing, "op4_shared_prefix_pieces": op4_shared_prefix_pieces, "op10_byte_cnn_quality": op10_byte_cnn_quality, "op5_uniform_threshold_topk": op5_uniform_threshold_topk, "op8_randomness_secrets": op8_randomness_secrets, "op1_robust_quality": op1_robust_quality, "op2_pareto_mix": op2_pareto_mix, "op9_tool_call_linking_all": op9_tool_call_linking_all}
-ORACLE_SQL = {"op3_bwt_merge_dedup": suffixes.ORACLE, "op7_hyperminhash_dedup": minhash.ORACLE, "op9_tool_call_linking": toolcalls.ORACLE, "op5_uniform_threshold_topk": topk.ORACLE, "op1_robust_quality": quality.oracle_assess(), "op2_pareto_mix": mixing.oracle_copies(), "op9_tool_call_linking_all": toolcalls.ORACLE_ALL}
+QUERIES = {"op9_tool_call_linking": op9_tool_call_linking, "op3_bwt_merge_dedup": op3_bwt_merge_dedup, "op7_hyperminhash_dedup": op7_hyperminhash_dedup, "op6_url_differencing": op6_url_differencing, "op4_shared_prefix_pieces": op4_shared_prefix_pieces, "op10_byte_cnn_quality": op10_byte_cnn_quality, "op5_uniform_threshold_topk": op5_uniform_threshold_topk, "op8_randomness_secrets": op8_randomness_secrets, "op1_robust_quality": op1_robust_quality, "op2_pareto_mix": op2_pareto_mix}
+ORACLE_SQL = {"op3_bwt_merge_dedup": suffixes.ORACLE, "op7_hyperminhash_dedup": minhash.ORACLE, "op9_tool_call_linking": toolcalls.ORACLE_ALL, "op5_uniform_threshold_topk": topk.ORACLE, "op1_robust_quality": quality.oracle_assess(), "op2_pareto_mix": mixing.oracle_copies()}
