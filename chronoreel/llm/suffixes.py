@@ -7,17 +7,19 @@ Equal windows have equal anchors, so runs are dealt by anchor and each task sees
 1. Rows are numbered in order of doc_id (nulls last; rows that share a doc_id in order of a hash of their text), and from here on a document is
    its number. Each document's bytes give its runs. Runs that are the same string in one task are merged there (only the earliest travels).
 2. By anchor: runs whose anchor came once have no repeat. Equal runs are merged; where all runs of an anchor are one string there is
-   nothing left to compare. The earliest of each distinct string of the other anchors fetches its bytes.
-3. Strings of an anchor meet in one task and are dealt into shards. Each shard's suffixes, read in symbols of SYMBOL bytes, are sorted
+   nothing left to compare. The earliest of each distinct string of the other anchors fetches its bytes, in two parts: the windows with
+   HALF bytes of context before the anchor, and the others, which have as many after it. A part's key is the hash of anchor and context.
+3. By key: strings that came alone have no repeat, and equal strings are merged. What is left is dealt into shards. Each shard's suffixes, read in symbols of SYMBOL bytes, are sorted
    once and give the shard's transform. The shards' transforms are then merged by refining their interleave: one stable distribution of
    the current order by the preceding symbol sorts all suffixes by one symbol more, without looking at the suffixes again. The round in
    which two neighbours part is their common prefix; after LENGTH / SYMBOL rounds the unparted stretches are the intervals of repeated
    LENGTH-byte strings, of which all but the earliest start are marked.
 4. Marks are united per document, and the rest of the bytes hashed.
 
-Anchors with more than HOT distinct strings are cut into single windows dealt by their own hash, after merging equal ones in the task. Their
-runs are sent on as soon as HOT is passed, so a task holds a bounded number of runs whatever share of them one anchor has. Strings are told apart
-by two 64-bit hashes or by the transform over 64-bit symbol hashes.
+Anchors with more than HOT distinct strings are cut into single windows, runs of one, that are dealt by their own hash and merged like equal
+runs, without their text: so a window costs a row and not LENGTH bytes. Their runs are sent on as soon as HOT is passed, and windows are merged
+in sorted order, so a task holds a bounded number of runs whatever share of them one anchor has. Strings are told apart by two 64-bit hashes,
+by their bytes or by the transform over 64-bit symbol hashes.
 
 Nulls and odd input: a null text is empty; a null doc_id counts as larger than all others; rows that share a doc_id (or have none) are documents of
 their own, a repeat between them is removed from the later in number; empty and short texts lose nothing; other columns are ignored; an empty table
@@ -43,7 +45,9 @@ BITS, SEGMENT, RUNS_AT_ONCE, BYTES_AT_ONCE = 24, 1 << 23, 1 << 20, 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(99).integers(1, 2**63, 256).astype(U)
-RUN, MARK = 0, 1
+RUN, MARK, WINDOW = 0, 1, 2
+#: Bytes of context beside the anchor that every window holds on one of its sides.
+HALF = (LENGTH - GRAM) // 2
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -227,41 +231,90 @@ def numbered(docs: DataFrame, parts: int) -> DataFrame:
     return out
 
 
-def _spread(doc: int, at: int) -> int:
-    """A key for marks, which need no meeting."""
-    return (doc * 0x9E3779B97F4A7C15 + at * 0xBF58476D1CE4E5B9) % 2**63
+STRINGS = "kind int, key long, doc long, at long, n long, data binary"
 
 
-STRINGS = "kind int, key long, doc long, at long, n long, data binary"
+def _rows(kind: int, key, doc, at, n, data=None) -> pa.RecordBatch:
+    """A batch of STRINGS."""
+    cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, doc, at, n)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *cols, pa.nulls(len(doc), pa.binary()) if data is None else pa.array(data, pa.binary())], ["kind", "key", "doc", "at", "n", "data"])
+
+
+def _spans(d: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and number of the windows in a row among those that start at (d, a)."""
+    order = np.lexsort((a, d))
+    d, a = d[order], a[order]
+    head = np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)]) if len(d) else np.empty(0, bool)
+    first = np.nonzero(head)[0]
+    return d[first], a[first], np.diff(np.append(first, len(d)))
+
+
+def _each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0, ..., count - 1 for each count: whose it is, and the number."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _windows(key, doc, at, n, start, flat) -> Iterator[pa.RecordBatch]:
+    """Runs of hot anchors as windows, by hash; the text is not needed, as equal windows are merged like equal runs. Marks for those met here."""
+    of, p = _each(n)
+    h = gram_hashes(flat, LENGTH)[start[of] + p]
+    key, doc, at = key[of], doc[of], at[of] + p
+    order, later = _later_equals((h, key), doc, at)
+    if later.any():
+        d, a, m = _spans(doc[order][later], at[order][later])
+        yield _rows(MARK, _mix(a.astype(U) * U(_BASE) + d.astype(U)), d, a, m)
+    pick = order[~later]
+    yield _rows(WINDOW, h[pick], doc[pick], at[pick], key[pick])
+
+
+def _halves(key, doc, at, n, start, flat) -> Iterator[pa.RecordBatch]:
+    """Runs cut in two where the anchor passes the middle of the window. A window of the first part holds the HALF bytes before the anchor, one
+    of the second at least as many after it; the anchor with these is the key, which fewer strings share by chance."""
+    # the anchor is the first place with its hash in the run's first window
+    of, p = _each(np.full(len(n), LENGTH - GRAM + 1))
+    hit = np.nonzero(gram_hashes(flat, GRAM)[start[of] + p] == key.view(U)[of])[0]
+    _, first = np.unique(of[hit], return_index=True)
+    anchor = p[hit[first]]
+    long = gram_hashes(flat, GRAM + HALF)
+    text = flat.tobytes()
+    left = np.clip(anchor - HALF + 1, 0, n)
+    for side, lo, hi, gram in ((0, np.zeros(len(n), np.int64), left, anchor - HALF), (1, left, n, anchor)):
+        some = np.nonzero(lo < hi)[0]
+        begin, end = (start + lo)[some], (start + hi + LENGTH - 1)[some]
+        yield _rows(RUN, _mix(long[(start + gram)[some]] + U(side)), doc[some], (at + lo)[some], (hi - lo)[some], [text[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, packed, wanted: list of key, at, n, hot) -> strings to compare, and marks for equal windows of hot anchors met here."""
+    """(doc, packed, wanted: list of key, at, n, hot) -> strings to compare, and hot anchors' windows with marks for equal ones met here."""
     unpack = zstandard.ZstdDecompressor()
+
+    def cut_up(cols, texts):
+        key, doc, at, n, hot = cols
+        for mark, way in ((0, _halves), (1, _windows)):
+            pick = np.nonzero(hot == mark)[0]
+            if len(pick):
+                size = n[pick] + LENGTH - 1
+                flat = np.frombuffer(b"".join(texts[k] for k in pick.tolist()), np.uint8)
+                yield from way(key[pick], doc[pick], at[pick], n[pick], np.cumsum(size) - size, flat)
+
     for b in batches:
-        rows, windows = [], {}
-        for doc, packed, wanted in zip(b.column("doc").to_pylist(), b.column("packed"), b.column("wanted").to_pylist(), strict=True):
-            data = unpack.decompress(packed.as_py())
-            for r in wanted:
-                at, n = r["at"], r["n"]
-                if len(data) < at + n + LENGTH - 1:
-                    continue
-                if not r["c"]:
-                    rows.append((RUN, r["key"], doc, at, n, data[at : at + n + LENGTH - 1]))
-                    continue
-                for p in range(at, at + n):
-                    s = data[p : p + LENGTH]
-                    old = windows.get(s)
-                    if old is None or (doc, p) < old:
-                        windows[s] = (doc, p)
-                        if old:
-                            rows.append((MARK, _spread(*old), *old, 1, None))
-                    elif (doc, p) > old:
-                        rows.append((MARK, _spread(doc, p), doc, p, 1, None))
-        rows += [(RUN, int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True), *v, 1, s) for s, v in windows.items()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        types = (pa.int32(), *(pa.int64(),) * 4, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "key", "doc", "at", "n", "data"])
+        wanted = b.column("wanted")
+        count = wanted.value_lengths().to_numpy()
+        key, at, n, hot = (wanted.flatten().field(c).to_numpy() for c in ("key", "at", "n", "c"))
+        cols = (key, np.repeat(b.column("doc").to_numpy(), count), at, n, hot)
+        texts, size, done, end = [], 0, 0, 0
+        for packed, k in zip(b.column("packed"), count.tolist(), strict=True):
+            data, end = unpack.decompress(packed.as_py()), end + k
+            for x, m in zip(at[end - k : end].tolist(), n[end - k : end].tolist(), strict=True):
+                texts.append(data[x : x + m + LENGTH - 1])
+                size += len(texts[-1])
+                if size > BYTES_AT_ONCE:
+                    to = done + len(texts)
+                    yield from cut_up([c[done:to] for c in cols], texts)
+                    texts, size, done = [], 0, to
+        if texts:
+            yield from cut_up([c[done:] for c in cols], texts)
 
 
 class Shard:
@@ -353,30 +406,62 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, at: np.ndarray, n: n
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings in order of key -> marks."""
-    held, size = [], 0
+    """Strings and windows in order of key, n, doc, at -> marks. Of strings alike one is compared; a key of one string needs no comparison."""
+    held, size, rest, last = [], 0, None, None
+
+    def marks(d, a, n):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, a, n)], ["doc", "at", "n"])
 
     def settle(rows):
         doc, at, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
-        d, a = repeated_windows([r[4] for r in rows], doc, at, n)
-        order = np.lexsort((a, d))
-        d, a = d[order], a[order]
-        head = np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)]) if len(d) else np.empty(0, bool)
-        first = np.nonzero(head)[0]
-        if len(first):
-            yield pa.RecordBatch.from_arrays([pa.array(d[first]), pa.array(a[first]), pa.array(np.diff(np.append(first, len(d))))], ["doc", "at", "n"])
+        d, a, m = _spans(*repeated_windows([r[4] for r in rows], doc, at, n))
+        if len(d):
+            yield marks(d, a, m)
+
+    def meet(cols, complete):
+        """Keys in order, of which the last may go on: into held the earliest of each string where a key has several; marks for the others."""
+        nonlocal held, size
+        key = cols.column("key").to_numpy()
+        begin = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        count = np.diff(np.append(begin, len(key)))
+        several = count > 1
+        several[-1] &= complete
+        rows = list(zip(*(c.to_pylist() for c in cols.filter(pa.array(np.repeat(several, count))).columns), strict=True))
+        later, at = [], 0
+        for k in count[several].tolist():
+            first = {}
+            for r in rows[at : at + k]:
+                if first.setdefault(r[4], r) is not r:
+                    later.append(r[1:4])
+            at += k
+            if len(first) > 1:
+                held += first.values()
+                size += sum(map(len, first))
+            if size > BYTES_AT_ONCE:
+                yield from settle(held)
+                held, size = [], 0
+        if later:
+            yield marks(*zip(*later, strict=True))
+        return None if complete else cols.slice(int(begin[-1]))
 
     for b in batches:
         kinds = b.column("kind").to_numpy()
-        mark = pa.array(kinds == MARK)
         if (kinds == MARK).any():
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(mark) for c in ("doc", "at", "n")], ["doc", "at", "n"])
-        for r in zip(*(b.column(c).filter(pa.array(kinds == RUN)).to_pylist() for c in ("key", "doc", "at", "n", "data")), strict=True):
-            if size > BYTES_AT_ONCE and r[0] != held[-1][0]:
-                yield from settle(held)
-                held, size = [], 0
-            held.append(r)
-            size += len(r[4])
+            yield b.filter(pa.array(kinds == MARK)).select(["doc", "at", "n"])
+        if (kinds == WINDOW).any():
+            key, doc, at, anchor = (b.column(c).to_numpy()[kinds == WINDOW] for c in ("key", "doc", "at", "n"))
+            before = [np.append(x[:1] if last is None else y, x[:-1]) for x, y in zip((key, anchor), last or (0, 0), strict=True)]
+            again = (key == before[0]) & (anchor == before[1])
+            again[0] &= last is not None
+            last = key[-1], anchor[-1]
+            if again.any():
+                yield marks(doc[again], at[again], np.ones(int(again.sum()), np.int64))
+        strings = b.filter(pa.array(kinds == RUN)).select(["key", "doc", "at", "n", "data"])
+        if len(strings):
+            rest = pa.Table.from_batches([strings] if rest is None else [*rest.to_batches(), strings]).combine_chunks()
+            rest = yield from meet(rest, False)
+    if rest is not None:
+        yield from meet(rest, True)
     if held:
         yield from settle(held)
 
@@ -423,7 +508,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     met = materialize(runs.mapInArrow(_meet, RUNS))
     wanted = met.where(F.col("kind") == RUN).groupBy("doc").agg(F.collect_list(F.struct("key", "at", "n", "c")).alias("wanted"))
     strings = packed.select("doc", "packed").join(wanted, "doc").select("doc", "packed", "wanted").mapInArrow(_strings, STRINGS)
-    marks = materialize(strings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare, "doc long, at long, n long"))
+    marks = materialize(strings.repartition(parts, "key").sortWithinPartitions("key", "n", "doc", "at").mapInArrow(_compare, "doc long, at long, n long"))
     marks = marks.unionByName(met.where(F.col("kind") == MARK).select("doc", "at", "n"))
     by_doc = marks.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
     return packed.join(by_doc, "doc", "left").select("doc_id", "packed", "marks").mapInArrow(_results, OUT)

@@ -7,6 +7,9 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import functions as F
 
 from chronoreel.llm import minhash, suffixes, toolcalls, topk
@@ -205,6 +208,46 @@ def test_long_repeats_against_brute_force(spark, monkeypatch):
     assert len(suffixes.repeats(odd).collect()) == 3 and suffixes.repeats(odd.limit(0)).count() == 0
 
 
+def surrounded(r, lengths, n):
+    text = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    passages = [text(k) for k in lengths]
+    return [(i, text(r.randint(0, 90)) + passages[i % len(passages)] + text(r.randint(0, 90))) for i in range(n)]
+
+
+def test_one_passage_in_many_surroundings_against_brute_force(spark, monkeypatch):
+    rows = surrounded(random.Random(11), (33, 65, 66, 67, 68, 99, 100, 101, 140), 400)
+    rows += [(1000 + i, t[i % 7 : len(t) - i % 5]) for i, t in rows[:100]]
+    want = brute_repeats(rows)
+    for hot in (2000, 20, 2):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want
+
+
+def test_strings_alike_in_their_anchor_only_cost_little(monkeypatch):
+    """No text travels for anchors of many strings, and strings that share no more than an anchor are not compared."""
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    # of many passages the one that is the anchor of almost any window around it
+    passage = min((text(40) for _ in range(3000)), key=lambda p: suffixes.gram_hashes(np.frombuffer(p.encode(), np.uint8), suffixes.GRAM).min())
+    rows = [(i, text(r.randint(40, 90)) + passage + text(r.randint(40, 90))) for i in range(300)]
+    docs = pa.table({"doc": [i for i, _ in rows], "packed": [zstandard.compress(t.encode()) for _, t in rows]})
+    for hot in (2000, 20):
+        monkeypatch.setattr(suffixes, "HOT", hot)
+        runs = pa.Table.from_batches(suffixes._find_runs(docs.to_batches())).sort_by("key")
+        met = pa.Table.from_batches(suffixes._meet(runs.to_batches()))
+        met = met.filter(pc.equal(met["kind"], suffixes.RUN)).to_pylist()
+        assert len(met) > 250 and (sum(x["c"] for x in met) > 250) == (hot == 20)
+        wanted = [[x for x in met if x["doc"] == i] for i, _ in rows]
+        batch = docs.append_column("wanted", pa.array([[{c: x[c] for c in ("key", "at", "n", "c")} for x in w] for w in wanted])).filter(pa.array([bool(w) for w in wanted])).combine_chunks().to_batches()
+        strings = pa.Table.from_batches(suffixes._strings(batch)).sort_by([(c, "ascending") for c in ("key", "n", "doc", "at")])
+        if hot == 20:
+            assert len(strings) > 10_000 and sum(len(x or b"") for x in strings["data"].to_pylist()) < 10_000
+        compared = []
+        monkeypatch.setattr(suffixes, "repeated_windows", lambda strings, *a: compared.extend(strings) or (np.empty(0, np.int64),) * 2)
+        assert not list(suffixes._compare(strings.combine_chunks().to_batches())) and not compared
+
+
 def test_merged_transforms_give_sorted_suffixes_and_prefixes():
     """Small alphabets, many shards: marked windows against a dictionary."""
     r = random.Random(3)
