@@ -11,8 +11,9 @@ n_shared, n_restored and n_guarded count the lines that differencing deleted for
 A page whose lines are all the same (a mirror) says nothing: a page's neighbours are the nearest ones with other lines, however many
 mirrors lie between. A page with none on its host keeps its lines, but for the guard.
 
-Scale. Pages are parsed once. They are ordered with only line hashes on board, by range partitioning on (host, path), so a host of any size is
-spread over tasks; partition edges are stitched from one row each. Text moves once, deflated, to meet its decisions. Parsing takes time in
+Scale. Pages are ordered with only line hashes on board, by range partitioning on (host, path), so a host of any size is
+spread over tasks; partition edges are stitched from one row each. Pages are parsed a second time for their text, which moves once, deflated, to
+meet its decisions: a table of the texts beside that would take as much disk again, and parsing is cheap. Parsing takes time in
 proportion to the page, whatever it holds: a tag whose quotes don't close ends at its first ">", and after PATIENCE page lengths of vain search quotes
 are ignored. The common subsequence takes memory for CELLS bits at most (beyond it the lists are halved).
 
@@ -227,23 +228,31 @@ def _line_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-PARSED = "key binary, page_id long, url string, host string, path string, lines array<long>, packed binary"
+OUTLINES = "key binary, host string, path string, lines array<long>"
+PACKED = "key binary, page_id long, url string, packed binary"
 PLACES = "-?="
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line hashes of each page, and deflated its lines' places and the text of those that may stay."""
-    kinds = (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary())
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line hashes of each page."""
+    kinds = (pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()))
     for b in batches:
-        rows = []
+        rows = [(_key(i, u, h), *address(u), [_line_hash(t) for _, t in lines_of(h or "")]) for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "host", "path", "lines"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Deflated the places of each page's lines and the text of those that may stay."""
+    for b in batches:
+        keys, out = [], []
         for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
             lines = lines_of(h or "")
             article = any(p == KEEP for p, _ in lines)
             held = [t for p, t in lines if p == KEEP or p == OPEN and not article]
-            packed = zlib.compress("\n".join(["".join(PLACES[p + 1] for p, _ in lines), *held]).encode(), 3)
-            rows.append((_key(i, u, h), i, u, *address(u), [_line_hash(t) for _, t in lines], packed))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "page_id", "url", "host", "path", "lines", "packed"])
+            keys.append(_key(i, u, h))
+            out.append(zlib.compress("\n".join(["".join(PLACES[p + 1] for p, _ in lines), *held]).encode(), 3))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0), b.column(1), pa.array(out, pa.binary())], ["key", "page_id", "url", "packed"])
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,16 +296,20 @@ def _join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *arrays], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_restored", "n_guarded"])
 
 
+def _columns(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long"), "url", "html")
+
+
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    return materialize(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parsed, PARSED))
+    return materialize(_columns(pages).mapInArrow(_outlines, OUTLINES))
 
 
 def shared_lines(parsed: DataFrame) -> DataFrame:
     """parsed_pages() -> key (of page_id, url, html), shared: for each line whether the nearest page of the host shares it."""
-    outlines = parsed.select("key", "host", "path", "lines")
     order = ["host", "path", "key"]
     n = max(16, int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = materialize(outlines.dropDuplicates(["key"]).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    # rows of one key lie in one range
+    ranged = materialize(parsed.repartitionByRange(n, *order).dropDuplicates(order).withColumn("part", F.spark_partition_id()))
     me = F.struct("host", "path", "lines")
     same = lambda x, y: x["host"].eqNullSafe(y["host"]) & x["lines"].eqNullSafe(y["lines"])
 
@@ -329,5 +342,5 @@ def shared_lines(parsed: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages -> page_id, url, text, n_chars and line counts; one row per page."""
-    parsed = parsed_pages(pages)
-    return parsed.select("key", "page_id", "url", "packed").join(shared_lines(parsed), "key", "left").select("page_id", "url", "packed", "shared").mapInArrow(_join_lines, RESULT)
+    packed = _columns(pages).mapInArrow(_packed, PACKED)
+    return packed.join(shared_lines(parsed_pages(pages)), "key", "left").select("page_id", "url", "packed", "shared").mapInArrow(_join_lines, RESULT)

@@ -1,5 +1,6 @@
 """Secrets, pieces, classifier and pages: brute force, round trips, held-out accuracy, odd input."""
 
+import pathlib
 import random
 import re
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoreel.llm import bytecnn, pages, pieces, secrets
+from chronoreel.llm.common import shared_dir
 
 
 def test_secret_spans_against_plain_rules():
@@ -315,6 +317,18 @@ def test_pages_look_past_runs_of_mirrors(spark):
     assert got[101] == got[102] == "Site name Alone All rights kept"
 
 
+def test_texts_of_pages_are_not_stored(spark):
+    """Tables in the shared folder hold line hashes only, and rows alike share one decision."""
+    r = random.Random(8)
+    rows = [(i, f"http://h/{i:03}", f"<p>Site name</p><p>{r.randbytes(4000).hex()}</p>", None) for i in range(100)]
+    where = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    stored = lambda: sum(f.stat().st_size for f in where.rglob("*.parquet"))
+    before = stored()
+    got = pages.extract(spark.createDataFrame(rows + rows[:30], PAGES)).collect()
+    assert 0 < stored() - before < 200_000
+    assert len(got) == 130 and all(x["n_chars"] == 8000 and x["n_shared"] == 1 for x in got)
+
+
 def test_neighbours_against_a_plain_search(spark):
     r = random.Random(6)
     for _ in range(3):
