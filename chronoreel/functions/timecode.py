@@ -27,12 +27,12 @@ def format_timecode(frame: Column, fps: int, drop: bool = False) -> Column:
 
 
 def parse_timecode(text: Column, fps: int) -> Column:
-    """hh:mm:ss:ff, with ; before ff for drop-frame, to a frame count; null if it isn't one (ff from 00 to 29)."""
-    good = text.rlike(r"^[0-9]{2}:[0-5][0-9]:[0-5][0-9][:;][0-2][0-9]$")
+    """hh:mm:ss:ff, with ; before ff for drop-frame, to a frame count; null if it isn't one (hours of 2 to 12 digits, ff from 00 to 29)."""
+    good = text.rlike(r"^[0-9]{2,12}:[0-5][0-9]:[0-5][0-9][:;][0-2][0-9]\z")
     part = lambda a: F.substring(text, a, 2).cast("long")
-    minutes = part(1) * 60 + part(4)
-    count = (minutes * 60 + part(7)) * fps + part(10)
-    dropped = F.when(F.substring(text, 9, 1) == ";", (minutes - _div(minutes, 10)) * 2).otherwise(0)
+    minutes = F.substring_index(text, ":", 1).cast("long") * 60 + part(-8)
+    count = (minutes * 60 + part(-5)) * fps + part(-2)
+    dropped = F.when(F.substring(text, -3, 1) == ";", (minutes - _div(minutes, 10)) * 2).otherwise(0)
     return F.when(good, count - dropped)
 
 
