@@ -59,7 +59,7 @@ def ebml(value: Column) -> Column:
     """An EBML number in hex: the length marked by the place of the leading one."""
     n = ebml_length(value)
     out = F.lit(None).cast("string")
-    for k in range(1, 8):
+    for k in range(1, 9):
         out = F.when(n == k, F.lpad(F.hex((value + (1 << (7 * k))).cast("long")), 2 * k, "0")).otherwise(out)
     return out
 

@@ -1,9 +1,14 @@
 """Keys and tables past the sizes of the test data."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chronoreel.functions import binary as B
 from chronoreel.functions import timecode as T
+from chronoreel.operators import movies as M
+from chronoreel.operators import tree
+from chronoreel.plans import movie_queries
 
 
 @pytest.mark.parametrize("drop", [False, True])
@@ -17,3 +22,9 @@ def test_what_is_no_timecode_is_null(spark):
     texts = ["1:00:00:00", "100:60:00:00", "100:00:00:30", "100:00:00:00\n", "x100:00:00:00", "9999999999999:00:00:00", "", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(T.parse_timecode(F.col("t"), 30).alias("f")).collect()
     assert [r["f"] for r in rows] == [None] * len(texts)
+
+
+def test_ebml_lengths(spark):
+    edges = [(n + 1, (1 << 7 * n) - 1) for n in range(1, 8)] + [(n, (1 << 7 * n) - 2) for n in range(1, 9)]
+    rows = spark.createDataFrame(edges, "n int, v long").select("n", "v", B.ebml_length(F.col("v")).alias("length"), B.ebml(F.col("v")).alias("text"), B.from_ebml(B.ebml(F.col("v"))).alias("back")).collect()
+    assert [(r["length"], len(r["text"]) // 2, r["back"]) for r in rows] == [(r["n"], r["n"], r["v"]) for r in rows]
