@@ -6,6 +6,7 @@ A tree of any depth is rows; a path query is an array comparison, so it needs no
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,46 +15,64 @@ from pyspark.sql import functions as F
 
 EDGES = "file long, node int, parent int, depth int, path array<string>, tag string, offset long, size long"
 TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*?(/?)>", re.S)
+#: Steps of paths that one batch of edges holds.
+STEPS = 1 << 16
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 def markup_edges(text: str) -> Iterator[tuple[int, int, int, list[str], str, int, int]]:
-    """(node, parent, depth, path, tag, offset, size) of every element; unclosed ones end with their parent."""
+    """(node, parent, depth, path, tag, offset, size) of every element; unclosed ones end with their parent. Paths are made as they are asked for."""
     open_: list[list] = []
     done = []
     n = 0
     for m in TAG.finditer(text):
-        tag = (m[2] or "").lower()
+        tag = sys.intern((m[2] or "").lower())
         if not tag:
             continue
         if m[1]:
-            at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][4] == tag), None)
+            at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][3] == tag), None)
             while at is not None and len(open_) > at:
                 e = open_.pop()
-                e[6] = (m.end() if len(open_) == at else m.start()) - e[5]
+                e[5] = (m.end() if len(open_) == at else m.start()) - e[4]
             continue
-        parent = open_[-1][0] if open_ else -1
-        path = (open_[-1][3] if open_ else []) + [tag]
-        e = [n, parent, len(path), path, tag, m.start(), m.end() - m.start()]
+        e = [n, open_[-1][0] if open_ else -1, len(open_) + 1, tag, m.start(), m.end() - m.start()]
         n += 1
         done.append(e)
         if tag not in VOID and not m[3]:
             open_.append(e)
     for e in open_:
-        e[6] = len(text) - e[5]
-    yield from (tuple(e) for e in done)
+        e[5] = len(text) - e[4]
+    path: list[str] = []
+    for node, parent, depth, tag, offset, size in done:
+        path[depth - 1 :] = [tag]  # in document order the last element of each lesser depth is an ancestor
+        yield node, parent, depth, path.copy(), tag, offset, size
 
 
 def markup_tree(pages: DataFrame, key: str = "page_id", text: str = "html") -> DataFrame:
-    """Every element of every page as an edge row. Null pages have none."""
+    """Every element of every page as an edge row. Null pages have none.
+
+    A worker holds one page's elements and at most STEPS steps of paths (or one path) beside the batch it reads.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64())
         names = ["file", "node", "parent", "depth", "path", "tag", "offset", "size"]
-        for b in batches:
-            rows = [(k, *e) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in markup_edges(t or "")]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        rows, steps = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                file = b.column(0)[i].as_py()
+                for e in markup_edges(b.column(1)[i].as_py() or ""):
+                    rows.append((file, *e))
+                    steps += e[2]
+                    if steps >= STEPS:
+                        yield packed(rows)
+                        rows, steps = [], 0
+        yield packed(rows)
 
     return pages.select(F.col(key).cast("long").alias("file"), text).mapInArrow(run, EDGES)
 

@@ -28,3 +28,19 @@ def test_ebml_lengths(spark):
     edges = [(n + 1, (1 << 7 * n) - 1) for n in range(1, 8)] + [(n, (1 << 7 * n) - 2) for n in range(1, 9)]
     rows = spark.createDataFrame(edges, "n int, v long").select("n", "v", B.ebml_length(F.col("v")).alias("length"), B.ebml(F.col("v")).alias("text"), B.from_ebml(B.ebml(F.col("v"))).alias("back")).collect()
     assert [(r["length"], len(r["text"]) // 2, r["back"]) for r in rows] == [(r["n"], r["n"], r["v"]) for r in rows]
+
+
+def test_edges_leave_in_small_batches(spark):
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    deep, flat = "<a>" * 300, "<ul>" + "<li>x</li>" * 2000 + "</ul>"
+    texts = ([deep, None, flat, ""] * 20)[:-1]
+    pages = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["file", "html"])
+    out = list(tree.markup_tree(Pages())(iter([pages, pages])))
+    assert max(sum(len(p) for p in b.column(4)) for b in out) < 65536 + 300
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(i, *e) for i, t in [*enumerate(texts)] * 2 for e in tree.markup_edges(t or "")]
