@@ -52,8 +52,9 @@ ED_SQL = """ed as (select o_custkey as track_id, cast(row_number() over (partiti
 
 def line_runs(lineitem: DataFrame) -> DataFrame:
     """Line items as sample runs: one track an order, runs of l_linenumber samples that last l_quantity ticks."""
-    return lineitem.selectExpr(
-        "l_orderkey as track_id", "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as int) as run",
+    rows = lineitem.withColumn("track_id", F.col("l_orderkey"))  # named before the window, so that its partitions are known to be the track's
+    return rows.selectExpr(
+        "track_id", "cast(row_number() over (partition by track_id order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as int) as run",
         "l_linenumber as count", "cast(l_quantity as bigint) as duration",
     )
 

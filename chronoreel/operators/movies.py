@@ -68,11 +68,11 @@ def cut_to_gaps(samples: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFra
     return kept, edits
 
 
-def split_chunks(samples: DataFrame, cut: str, round_up: bool = False) -> DataFrame:
+def split_chunks(samples: DataFrame, cut: str, round_up: bool = False, at: str | None = None) -> DataFrame:
     """part: 0 for samples before a cut (a column, in time from the track's first sample), 1 behind it. A sample across the cut goes behind it, or
-    before it with round_up."""
-    at = F.coalesce(F.sum("duration").over(by_track("sample").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = at < F.col(cut) if round_up else at + F.col("duration") <= F.col(cut)
+    before it with round_up. at: a column with each sample's time from the track's first, where that is known; else durations are added up in a sort of the samples."""
+    begins = F.col(at) if at else F.coalesce(F.sum("duration").over(by_track("sample").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = begins < F.col(cut) if round_up else begins + F.col("duration") <= F.col(cut)
     return samples.withColumn("part", F.when(before, 0).otherwise(1))
 
 

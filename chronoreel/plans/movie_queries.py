@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..model import LR_SQL, PK_SQL, event_packets, line_runs, table
 from ..operators import movies as M
+from ..operators.runs import exclusive_sum
 
 QUERIES, SQL = {}, {}
 
@@ -33,37 +34,40 @@ SAMPLES = f"""with {LR_SQL}, s0 as (select track_id, run, duration, unnest(range
 LEFT = "k as materialized (select s.*, coalesce(sum(s.duration) over (partition by s.track_id order by start rows between unbounded preceding and 1 preceding), 0)::bigint as new_start from s left join g on s.track_id = g.track_id and start >= gap_start and start + s.duration <= gap_end + 1 where g.track_id is null)"
 
 
-def samples(spark, d):
-    from pyspark.sql import Window
+def sample_runs(spark, d):
+    return line_runs(table(spark, d, "lineitem")).where("count > 0")
 
-    rows = line_runs(table(spark, d, "lineitem")).withColumn("k", F.explode(F.expr("sequence(0, count - 1)")))
-    w = Window.partitionBy("track_id").orderBy("run", "k")
-    start = F.coalesce(F.sum("duration").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return rows.select("track_id", (F.row_number().over(w) - 1).cast("long").alias("sample"), start.alias("start"), "duration")
+
+def samples(rows):
+    """Samples of runs: numbers and times are sums over runs, so samples need no sort."""
+    lasts = F.coalesce("duration", F.lit(0))
+    before = lambda c: exclusive_sum(c, ["track_id"], ["run"]).cast("long")
+    rows = rows.withColumns({"__n": before(F.col("count")), "__t": before(F.col("count") * lasts)}).withColumn("k", F.explode(F.expr("sequence(0, count - 1)")))
+    return rows.select("track_id", (F.col("__n") + F.col("k")).alias("sample"), (F.col("__t") + F.col("k") * lasts).alias("start"), "duration")
 
 
 def thirds(rows):
-    return rows.groupBy("track_id").agg(F.sum("duration").alias("t")).where("t > 30").selectExpr("track_id", "t div 3 as gap_start", "t * 2 div 3 as gap_end")
+    return rows.groupBy("track_id").agg(F.sum(F.col("count") * F.col("duration")).alias("t")).where("t > 30").selectExpr("track_id", "t div 3 as gap_start", "t * 2 div 3 as gap_end")
 
 
 @query("cut_chunks_samples", f"{SAMPLES}, {LEFT} select track_id, sample, new_start from k")
 def cut_chunks_samples(spark, d):
-    rows = samples(spark, d)
-    return M.cut_to_gaps(rows, thirds(rows))[0].select("track_id", "sample", "new_start")
+    rows = sample_runs(spark, d)
+    return M.cut_to_gaps(samples(rows), thirds(rows))[0].select("track_id", "sample", "new_start")
 
 
 @query("cut_chunks_edits", f"""{SAMPLES}, {LEFT}, i as (select track_id, 0 as a, gap_start as b from g union all select track_id, gap_end + 1, t from g join (select track_id, sum(duration)::bigint as t from s group by track_id) using (track_id)
     union all select track_id, 0, sum(duration)::bigint from s group by track_id having sum(duration) <= 30)
     select i.track_id, (row_number() over (partition by i.track_id order by a) - 1)::int as ord, new_start + a - start as media_time, b - a as duration from i asof join k on i.track_id = k.track_id and i.a >= k.start where b > a""")
 def cut_chunks_edits(spark, d):
-    rows = samples(spark, d)
-    return M.cut_to_gaps(rows, thirds(rows))[1]
+    rows = sample_runs(spark, d)
+    return M.cut_to_gaps(samples(rows), thirds(rows))[1]
 
 
 @query("split_chunks", f"{SAMPLES} select track_id, sample, case when start + duration <= 100 then 0 else 1 end as down, case when start < 100 then 0 else 1 end as up from s")
 def split_chunks(spark, d):
-    rows = samples(spark, d).withColumn("cut", F.lit(100))
-    return M.split_chunks(M.split_chunks(rows, "cut").withColumnRenamed("part", "down"), "cut", True).select("track_id", "sample", "down", F.col("part").alias("up"))
+    rows = samples(sample_runs(spark, d)).withColumn("cut", F.lit(100))
+    return M.split_chunks(M.split_chunks(rows, "cut", at="start").withColumnRenamed("part", "down"), "cut", True, "start").select("track_id", "sample", "down", F.col("part").alias("up"))
 
 
 @query("set_frame_rate", f"""with {LR_SQL}, t as (select track_id, run, count, duration, sum(count) over (partition by track_id)::bigint as n, sum(count * duration) over (partition by track_id)::bigint as a from lr), u as (select *, a // n as scale from t)

@@ -44,3 +44,25 @@ def test_edges_leave_in_small_batches(spark):
     out = list(tree.markup_tree(Pages())(iter([pages, pages])))
     assert max(sum(len(p) for p in b.column(4)) for b in out) < 65536 + 300
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(i, *e) for i, t in [*enumerate(texts)] * 2 for e in tree.markup_edges(t or "")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_sorts_runs_and_no_samples(spark, data):
+    text = plan(movie_queries.split_chunks(spark, data))
+    assert not {"Sort", "Exchange", "Window"} & set(text[: text.index("Generate explode")].replace("[", " ").split())
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_samples_of_odd_runs(spark):
+    rows = spark.createDataFrame([(1, 0, 2, 5), (1, 1, 3, None), (1, 2, 1, 7), (2, 0, 1, 4), (None, 0, 2, 3)], "track_id long, run int, count int, duration long")
+    got = {tuple(r) for r in movie_queries.samples(rows).collect()}
+    assert got == {(1, 0, 0, 5), (1, 1, 5, 5), (1, 2, 10, None), (1, 3, 10, None), (1, 4, 10, None), (1, 5, 10, 7), (2, 0, 0, 4), (None, 0, 0, 3), (None, 1, 3, 3)}
+
+
+def test_split_with_and_without_known_times(spark, data):
+    rows = movie_queries.samples(movie_queries.sample_runs(spark, data)).withColumn("cut", F.lit(100))
+    for up in (False, True):
+        assert not M.split_chunks(rows, "cut", up).exceptAll(M.split_chunks(rows, "cut", up, "start")).take(1)
