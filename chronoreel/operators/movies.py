@@ -42,29 +42,31 @@ def cut_to_gaps(samples: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFra
     """Samples (track_id, sample, start, duration) without those that lie wholly in one of the track's gaps (gap_start, gap_end, the end
     inclusive), re-timed without holes (new_start); and the intervals that remain as edits (track_id, ord, media_time, duration).
 
-    Gaps of a track don't overlap. Each sample looks up the last gap that begins at or before it by one sort a track, and so does each interval the
-    last kept sample that begins at or before it.
+    Gaps of a track don't overlap. Samples, gaps and the intervals between them lie in one sort a track: each sample looks up the last gap that begins
+    at or before it, and each interval the last kept sample that does.
     """
-    marks = samples.select("track_id", F.col("start").alias("__at"), F.lit(1).alias("__kind"), "sample", "start", "duration", F.lit(None).cast("long").alias("gap_end"))
-    marks = marks.unionByName(gaps.select("track_id", F.col("gap_start").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("sample"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("duration"), F.col("gap_end").cast("long").alias("gap_end")))
-    w = by_track("__at", "__kind", "sample").rowsBetween(Window.unboundedPreceding, 0)
-    seen = marks.withColumn("__end", F.last("gap_end", ignorenulls=True).over(w)).where("__kind = 1")
-    kept = seen.where("not coalesce(start + duration <= __end + 1, false)")
-    kept = kept.withColumn("new_start", F.coalesce(F.sum("duration").over(by_track("start", "sample").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    kept = kept.select("track_id", "sample", "start", "duration", "new_start")
-
+    side = lambda kind, at: F.struct(F.lit(kind).alias("side"), at.cast("long").alias("at"))
     ends = samples.groupBy("track_id").agg(F.max(F.col("start") + F.col("duration")).alias("stop"), F.min("start").alias("from"))
-    edges = gaps.select("track_id", (F.col("gap_end") + 1).alias("a"), F.lit(True).alias("real")).unionByName(ends.select("track_id", F.col("from").alias("a"), F.lit(True).alias("real")))
-    stops = gaps.select("track_id", F.col("gap_start").alias("b")).unionByName(ends.select("track_id", F.col("stop").alias("b")))
-    # the k-th beginning belongs to the k-th end
-    a = edges.withColumn("ord", F.row_number().over(by_track("a")) - 1)
-    b = stops.withColumn("ord", F.row_number().over(by_track("b")) - 1)
-    left = a.join(b, ["track_id", "ord"]).where("b > a").select("track_id", F.col("a").alias("__at"), "b")
-    both = kept.select("track_id", F.col("start").alias("__at"), F.lit(0).alias("__kind"), "start", "new_start", F.lit(None).cast("long").alias("b"))
-    both = both.unionByName(left.select("track_id", "__at", F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("new_start"), F.col("b").cast("long")))
-    w = by_track("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("start", "new_start")}).where("__kind = 1")
-    edits = found.select("track_id", (F.row_number().over(by_track("__at")) - 1).cast("int").alias("ord"), (F.col("new_start") + F.col("__at") - F.col("start")).alias("media_time"), (F.col("b") - F.col("__at")).alias("duration"))
+    sides = gaps.select("track_id", F.explode(F.array(side(0, F.col("gap_end") + 1), side(1, F.col("gap_start")))).alias("s"))
+    sides = sides.unionByName(ends.select("track_id", F.explode(F.array(side(0, F.col("from")), side(1, F.col("stop")))).alias("s"))).select("track_id", "s.*")
+    # the k-th beginning belongs to the k-th end; there are as many of both
+    half = F.expr("count(*) over (partition by track_id) div 2")
+    ranked = sides.withColumn("ord", (F.row_number().over(by_track("side", "at")) - 1) % half)
+    left = ranked.groupBy("track_id", "ord").agg(F.max(F.expr("case when side = 0 then at end")).alias("a"), F.max(F.expr("case when side = 1 then at end")).alias("b")).where("b > a and track_id is not null")
+
+    none = F.lit(None).cast("long")
+    marks = samples.select("track_id", F.col("start").alias("__at"), F.lit(1).alias("__kind"), "sample", "duration", none.alias("__to"))
+    marks = marks.unionByName(gaps.select("track_id", F.col("gap_start").alias("__at"), F.lit(0).alias("__kind"), none.alias("sample"), none.alias("duration"), F.col("gap_end").cast("long").alias("__to")))
+    marks = marks.unionByName(left.select("track_id", F.col("a").alias("__at"), F.lit(2).alias("__kind"), none.alias("sample"), none.alias("duration"), F.col("b").alias("__to")))
+    w = by_track("__at", "__kind", "sample")
+    past, now = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = marks.withColumn("__end", F.last(F.expr("case when __kind = 0 then __to end"), ignorenulls=True).over(now))
+    rows = rows.withColumn("__keep", F.expr("__kind = 1 and not coalesce(__at + duration <= __end + 1, false)"))
+    rows = rows.withColumn("new_start", F.coalesce(F.sum(F.expr("case when __keep then duration end")).over(past), F.lit(0)))
+    kept = rows.where("__keep").select("track_id", "sample", F.col("__at").alias("start"), "duration", "new_start")
+
+    found = rows.withColumn("__moved", F.last(F.expr("case when __keep then new_start - __at end"), ignorenulls=True).over(now)).where("__kind = 2")
+    edits = found.select("track_id", (F.row_number().over(w) - 1).cast("int").alias("ord"), (F.col("__moved") + F.col("__at")).alias("media_time"), (F.col("__to") - F.col("__at")).alias("duration"))
     return kept, edits
 
 

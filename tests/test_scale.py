@@ -66,3 +66,33 @@ def test_split_with_and_without_known_times(spark, data):
     rows = movie_queries.samples(movie_queries.sample_runs(spark, data)).withColumn("cut", F.lit(100))
     for up in (False, True):
         assert not M.split_chunks(rows, "cut", up).exceptAll(M.split_chunks(rows, "cut", up, "start")).take(1)
+
+
+def test_cutting_sorts_samples_once(spark, data):
+    text = plan(movie_queries.cut_chunks_edits(spark, data))
+    assert text.count("Generate explode(sequence(0") <= 2
+    assert sum("sample#" in line for line in text.splitlines() if "- Sort [" in line) == 1
+
+
+def test_samples_between_many_gaps(spark):
+    durations = {t: [1 + (t * 7 + i * i) % 9 for i in range(40)] for t in range(6)}
+    samples, gaps, kept, edits = [], [], [], []
+    for t, each in durations.items():
+        start, new, where = 0, 0, []
+        own = [(a, a + 3 + 5 * k) for k, a in enumerate(range(5 * t, sum(each) - 40, 37))][: 2 * t]  # that of track 1 and later ends inside; track 0 has none
+        gaps += [(t, a, b) for a, b in own]
+        for i, d in enumerate(each):
+            samples.append((t, i, start, d))
+            if not any(a <= start and start + d <= b + 1 for a, b in own):
+                kept.append((t, i, start, d, new))
+                where.append((start, new))
+                new += d
+            start += d
+        bounds = [(a, b) for a, b in zip([0, *(g[1] + 1 for g in own)], [*(g[0] for g in own), start], strict=True) if b > a]
+        for k, (a, b) in enumerate(bounds):
+            s, n = max(x for x in where if x[0] <= a)
+            edits.append((t, k, n + a - s, b - a))
+    assert gaps
+    a, b = M.cut_to_gaps(spark.createDataFrame(samples, "track_id long, sample long, start long, duration long"), spark.createDataFrame(gaps, "track_id long, gap_start long, gap_end long"))
+    assert sorted(map(tuple, a.collect())) == kept
+    assert sorted(map(tuple, b.collect())) == edits
